@@ -9,19 +9,22 @@ from cohortlake.plans import labels as L
 from cohortlake.sources import standin as V
 
 DIGITS = 6
+# Averages of cents often end in an exact half of the last digit, where the last bit would decide the rounding.
+# Both sides shift by this hair before they round.
+HAIR = 3.14159e-8
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every double, since sums depend on their order in the last bits."""
     return df.select(
-        *[F.round(f"`{c}`", digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
+        *[F.round(F.col(f"`{c}`") + HAIR, digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
     )
 
 
 def sql_rounded(cols: str | list[str], inner: str, digits: int = DIGITS) -> str:
     """Same rounding in SQL for the named columns; adding 0 turns -0.0 into 0.0."""
     names = cols.split() if isinstance(cols, str) else cols
-    return f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0 AS {c}' for c in names)}) FROM ({inner})"
+    return f"SELECT * REPLACE ({', '.join(f'round({c} + {HAIR}::DOUBLE, {digits}) + 0 AS {c}' for c in names)}) FROM ({inner})"
 
 
 def sql_offsets(c: str) -> str:

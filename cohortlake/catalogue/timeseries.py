@@ -1 +1,602 @@
-"""Placeholder."""
+"""Cleaning, daily tables, sliding windows, window statistics, training tables and tensors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortlake.catalogue import derived as Q, labelling as LB
+from cohortlake.catalogue.common import daily_tables, label_tables, minutes, minutes_a, rounded, sql_rounded
+from cohortlake.catalogue.ctes import cte
+from cohortlake.catalogue.registry import query
+from cohortlake.functions import exprs as E
+from cohortlake.operators import daily as D, profile, timejoin, windows as WN
+from cohortlake.plans import features as X
+from cohortlake.sources import schemas as S, standin as V
+from cohortlake.sources.tables import GRID_KEYS, materialize, read_grid, scratch_dir, write_daily_tables, write_grid
+
+WINDOW, STRIDE, MIN_COVERAGE = 7 * 1440, 1440, 0.0005
+
+
+@query("pip_01_clean_minutes", "SELECT * FROM minutes", "minutes")
+def _(spark, d):
+    return minutes(spark, d)
+
+
+@query("agg_01_smartwatch_daily", sql_rounded(Q.SW_DOUBLES, "SELECT * FROM smartwatch_daily"), "smartwatch_daily")
+def _(spark, d):
+    return rounded(D.smartwatch_daily(minutes_a(spark, d)))
+
+
+FRAC = [f"smartwatch_activity_frac_{g}" for g in E.ACTIVITY_GROUPS]
+
+
+@query(
+    "agg_02_activity_fractions",
+    sql_rounded(FRAC, f"SELECT user_key, date, {', '.join(FRAC)} FROM smartwatch_daily"),
+    "smartwatch_daily",
+)
+def _(spark, d):
+    counts = minutes_a(spark, d).groupBy("user_key", "date").pivot("activity_group", E.ACTIVITY_GROUPS).agg(F.count("user_key"))
+    total = sum((F.coalesce(g, F.lit(0)) for g in E.ACTIVITY_GROUPS), F.lit(0))
+    return rounded(counts.select(
+        "user_key", "date", *[(F.coalesce(g, F.lit(0)) / total).alias(f"smartwatch_activity_frac_{g}") for g in E.ACTIVITY_GROUPS]
+    ))
+
+
+PARTS = [f"smartwatch_{p}_{m}" for p in ("day", "night") for m in ("hr_mean", "steps_sum", "active_frac")]
+
+
+@query(
+    "agg_03_day_night",
+    sql_rounded(PARTS, f"SELECT user_key, date, {', '.join(PARTS)} FROM smartwatch_daily"),
+    "smartwatch_daily",
+)
+def _(spark, d):
+    return rounded(D.smartwatch_core(minutes_a(spark, d)).select("user_key", "date", *PARTS))
+
+
+@query("agg_04_inhaler_daily", "SELECT * FROM smartinhaler_daily", "smartinhaler_daily")
+def _(spark, d):
+    return D.inhaler_daily(V.inhaler(spark, d))
+
+
+@query("agg_05_peakflow_daily", sql_rounded(Q.PF_DOUBLES, "SELECT * FROM peakflow_daily"), "peakflow_daily")
+def _(spark, d):
+    return rounded(D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)))
+
+
+HALF = [f"peakflow_{p}_{m}" for p in ("morning", "evening") for m in ("pef_mean", "pef_max")]
+
+
+@query(
+    "agg_06_morning_evening",
+    sql_rounded(HALF, f"SELECT user_key, date, peakflow_morning_count, peakflow_evening_count, {', '.join(HALF)} FROM peakflow_daily"),
+    "peakflow_daily",
+)
+def _(spark, d):
+    out = D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d))
+    return rounded(out.select("user_key", "date", "peakflow_morning_count", "peakflow_evening_count", *HALF))
+
+
+@query("agg_07_environment_daily", sql_rounded(Q.ENV_DOUBLES, "SELECT * FROM environment_daily"), "environment_daily")
+def _(spark, d):
+    return rounded(D.environment_daily(V.environment(spark, d)))
+
+
+@query(
+    "jon_01_partial_aggregates",
+    sql_rounded("smartwatch_hr_mean smartwatch_day_hr_mean smartwatch_night_hr_mean",
+                "SELECT user_key, date, smartwatch_rows, smartwatch_hr_mean, smartwatch_day_hr_mean, smartwatch_night_hr_mean FROM smartwatch_daily"),
+    "smartwatch_daily",
+)
+def _(spark, d):
+    m = minutes_a(spark, d)
+    keys = ["user_key", "date"]
+    whole = m.groupBy(*keys).agg(F.count("*").alias("smartwatch_rows"), F.avg("hr").alias("smartwatch_hr_mean"))
+    for part, flag in (("day", 1), ("night", 0)):
+        one = m.filter(F.col("is_day") == flag).groupBy(*keys).agg(F.avg("hr").alias(f"smartwatch_{part}_hr_mean"))
+        whole = whole.join(one, keys, "left")
+    return rounded(whole)
+
+
+@query(
+    "jon_02_static_dimension",
+    sql_rounded("max_pef_expected pef_best", """SELECT s.user_key, s.date, s.smartinhaler_total_actuations, p.sex, p.max_pef_expected, p.pef_best
+       FROM smartinhaler_daily s LEFT JOIN patient p ON s.user_key = p.user_key"""),
+    "smartinhaler_daily patient",
+)
+def _(spark, d):
+    left = D.inhaler_daily(V.inhaler(spark, d)).select("user_key", "date", "smartinhaler_total_actuations")
+    dim = V.patient(spark, d).select("user_key", "sex", "max_pef_expected", "pef_best")
+    return rounded(left.join(dim, "user_key", "left"))
+
+
+# --- sliding windows ------------------------------------------------------------------------------
+
+cte("hop_anchors", "minutes_a", f"""
+SELECT user_key, unnest(range(lo + {WINDOW}, hi + 1, {STRIDE})) AS anchor_relative_minute
+FROM (SELECT user_key, min(relative_minute) AS lo, max(relative_minute) AS hi FROM minutes_a GROUP BY user_key)
+WHERE lo + {WINDOW} <= hi
+""")
+HOP_GROUPS = ", ".join(f"avg(CAST(activity_group = '{g}' AS INTEGER)) AS activity_frac_{g}" for g in E.ACTIVITY_GROUPS)
+
+
+def _slope_sql(m: str) -> str:
+    return (
+        f"CASE WHEN count({m}) >= 2 AND min(relative_minute) FILTER ({m} IS NOT NULL) < max(relative_minute) FILTER ({m} IS NOT NULL) "
+        f"THEN regr_slope({m}, relative_minute) END AS {m}_slope"
+    )
+
+
+cte("hop_features", "hop_anchors minutes_a", f"""
+SELECT a.user_key, a.anchor_relative_minute, a.anchor_relative_minute - {WINDOW} AS window_start_minute,
+       a.anchor_relative_minute AS window_end_minute, count(DISTINCT relative_minute) AS observed_minutes,
+       count(DISTINCT relative_minute) / {WINDOW}.0::DOUBLE AS coverage, count(*) AS n_rows_in_window,
+       avg(hr) AS hr_mean, stddev_samp(hr) AS hr_std, min(hr) AS hr_min, max(hr) AS hr_max,
+       quantile_cont(hr, 0.5) AS hr_median, 1 - count(hr) / {WINDOW}.0::DOUBLE AS hr_missing_pct,
+       sum(steps) AS steps_sum, avg(steps) AS steps_mean, max(steps) AS steps_max,
+       avg(intensity) AS intensity_mean, stddev_samp(intensity) AS intensity_std, max(intensity) AS intensity_max,
+       avg(is_active_minute) AS active_minute_frac, {HOP_GROUPS},
+       avg(hr) FILTER (is_day = 1) AS day_hr_mean, avg(hr) FILTER (is_day = 0) AS night_hr_mean,
+       sum(steps) FILTER (is_day = 1) AS day_steps_sum, sum(steps) FILTER (is_day = 0) AS night_steps_sum,
+       avg(is_active_minute) FILTER (is_day = 1) AS day_active_frac,
+       avg(is_active_minute) FILTER (is_day = 0) AS night_active_frac, {_slope_sql('hr')}, {_slope_sql('steps')}
+FROM hop_anchors a JOIN minutes_a m ON m.user_key = a.user_key
+  AND m.relative_minute >= a.anchor_relative_minute - {WINDOW} AND m.relative_minute < a.anchor_relative_minute
+GROUP BY a.user_key, a.anchor_relative_minute
+HAVING count(DISTINCT relative_minute) / {WINDOW}.0::DOUBLE >= {MIN_COVERAGE}
+""")
+HOP_DOUBLES = (
+    "coverage hr_mean hr_std hr_min hr_max hr_median hr_missing_pct steps_sum steps_mean steps_max intensity_mean "
+    "intensity_std intensity_max active_minute_frac day_hr_mean night_hr_mean day_steps_sum night_steps_sum "
+    "day_active_frac night_active_frac hr_slope steps_slope"
+).split() + [f"activity_frac_{g}" for g in E.ACTIVITY_GROUPS]
+
+
+def hop_features(spark, d):
+    return WN.sliding_window_features(minutes_a(spark, d), WINDOW, STRIDE, MIN_COVERAGE)
+
+
+@query(
+    "win_01_anchors",
+    "SELECT * FROM hop_anchors",
+    "hop_anchors",
+)
+def _(spark, d):
+    return WN.anchors(minutes(spark, d), WINDOW, STRIDE)
+
+
+@query("agg_09_sliding_features", sql_rounded(HOP_DOUBLES, "SELECT * FROM hop_features"), "hop_features")
+def _(spark, d):
+    return rounded(hop_features(spark, d))
+
+
+@query(
+    "jon_08_hopping_join",
+    sql_rounded("hr_mean steps_sum", "SELECT user_key, anchor_relative_minute, n_rows_in_window, hr_mean, steps_sum FROM hop_features"),
+    "hop_features",
+)
+def _(spark, d):
+    # The bucket form without the gate's other features: Catalyst prunes the partial sums that are not read.
+    out = hop_features(spark, d)
+    return rounded(out.select("user_key", "anchor_relative_minute", "n_rows_in_window", "hr_mean", "steps_sum"))
+
+
+DESCRIBED = ["hr_mean", "hr_std", "steps_sum", "coverage"]
+DESCRIBE_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max,
+        avg(CAST({c} IS NULL AS INTEGER)) * 100 AS missing_pct, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50,
+        quantile_cont({c}, 0.75) AS q75 FROM hop_features"""
+    for c in DESCRIBED
+)
+DESCRIBE_DOUBLES = "mean std min max missing_pct q25 q50 q75"
+
+
+@query("agg_15_feature_summary", sql_rounded(DESCRIBE_DOUBLES, DESCRIBE_SQL, 5), "hop_features")
+def _(spark, d):
+    return rounded(profile.describe(hop_features(spark, d), DESCRIBED), 5)
+
+
+@query("pip_17_feature_job", sql_rounded(DESCRIBE_DOUBLES, DESCRIBE_SQL, 5), "hop_features")
+def _(spark, d):
+    return rounded(profile.describe(materialize(hop_features(spark, d)), DESCRIBED), 5)
+
+
+# --- L-day window statistics and training tables --------------------------------------------------
+
+
+def samples(spark, d):
+    return LB.samples(spark, d)[0]
+
+
+@query("agg_08_window_stats", sql_rounded(Q.window_doubles("smartinhaler"), "SELECT * FROM smartinhaler_block"), "smartinhaler_block")
+def _(spark, d):
+    return rounded(WN.window_block(samples(spark, d), D.inhaler_daily(V.inhaler(spark, d)), "smartinhaler", True))
+
+
+@query(
+    "jon_07_window_range_join",
+    """SELECT w.user_key, w.window_start_day, w.window_end_day, count(s.date) AS days, CAST(sum(peakflow_measurement_count) AS BIGINT) AS readings
+       FROM (SELECT DISTINCT user_key, window_start_day, window_end_day FROM samples) w LEFT JOIN peakflow_daily s
+         ON s.user_key = w.user_key AND s.date BETWEEN w.window_start_day AND w.window_end_day GROUP BY ALL""",
+    "samples peakflow_daily",
+)
+def _(spark, d):
+    wins = samples(spark, d).select(*WN.WINDOW_KEYS).distinct()
+    daily = D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)).select("user_key", "date", "peakflow_measurement_count")
+    laid = timejoin.dense_calendar(wins, daily, ["user_key"], "window_start_day", "window_end_day", "date")
+    return laid.groupBy(*WN.WINDOW_KEYS).agg(
+        F.count("peakflow_measurement_count").alias("days"), F.sum("peakflow_measurement_count").alias("readings")
+    )
+
+
+@query(
+    "agg_10_days_observed",
+    sql_rounded("peakflow_days_observed peakflow_day_coverage",
+                "SELECT user_key, window_start_day, window_end_day, peakflow_days_observed, peakflow_day_coverage FROM peakflow_block"),
+    "peakflow_block",
+)
+def _(spark, d):
+    daily = D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d))
+    block = WN.window_block(samples(spark, d), daily, "peakflow")
+    return rounded(block.select(*WN.WINDOW_KEYS, "peakflow_days_observed", "peakflow_day_coverage"))
+
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+REGIONS = ["r0", "r1", "r2", "r3"]
+cte("patient_static", "patient", f"""
+SELECT user_key, max_pef_expected AS patient_max_pef_expected, pef_best AS patient_pef_best,
+       n_inhalers AS patient_n_inhalers, pack_years AS patient_pack_years,
+       {', '.join(f"CAST(coalesce(sex = '{v}', false) AS INTEGER) AS patient_sex_{v}" for v in SEGMENTS)},
+       CAST(sex IS NULL AS INTEGER) AS patient_sex_nan,
+       {', '.join(f"CAST(coalesce(region = '{v}', false) AS INTEGER) AS patient_region_{v}" for v in REGIONS)},
+       CAST(region IS NULL AS INTEGER) AS patient_region_nan
+FROM patient
+""")
+STATIC_DOUBLES = ["patient_max_pef_expected", "patient_pef_best", "patient_n_inhalers", "patient_pack_years"]
+
+
+@query("pre_05_one_hot_static", sql_rounded(STATIC_DOUBLES, "SELECT * FROM patient_static"), "patient_static")
+def _(spark, d):
+    return rounded(D.patient_static(V.patient(spark, d)))
+
+
+TRAINING = """
+SELECT s.*, i.* EXCLUDE (user_key, window_start_day, window_end_day), p.* EXCLUDE (user_key, window_start_day, window_end_day),
+       t.* EXCLUDE (user_key)
+FROM samples s
+LEFT JOIN smartinhaler_block i ON i.user_key = s.user_key AND i.window_start_day = s.window_start_day AND i.window_end_day = s.window_end_day
+LEFT JOIN peakflow_block p ON p.user_key = s.user_key AND p.window_start_day = s.window_start_day AND p.window_end_day = s.window_end_day
+LEFT JOIN patient_static t ON t.user_key = s.user_key
+"""
+TRAIN_CELL = "threshold = 3 AND input_length_days = 7 AND washout_days = 7"
+
+
+def training(spark, d, sources=("smartinhaler", "peakflow"), cell=TRAIN_CELL):
+    tables = {
+        "smartinhaler": D.inhaler_daily(V.inhaler(spark, d)),
+        "peakflow": D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)),
+    }
+    return X.training_table(samples(spark, d).filter(cell), tables, D.patient_static(V.patient(spark, d)), sources)
+
+
+@query(
+    "pip_11_training_table",
+    sql_rounded(Q.window_doubles("smartinhaler") + Q.window_doubles("peakflow") + STATIC_DOUBLES, TRAINING + f" WHERE {TRAIN_CELL}"),
+    "samples smartinhaler_block peakflow_block patient_static",
+)
+def _(spark, d):
+    return rounded(training(spark, d))
+
+
+@query(
+    "pip_11_training_table_all_sources",
+    sql_rounded(Q.window_doubles("smartwatch") + Q.window_doubles("environment"),
+                f"""SELECT s.*, a.* EXCLUDE (user_key, window_start_day, window_end_day), e.* EXCLUDE (user_key, window_start_day, window_end_day)
+       FROM samples s
+       LEFT JOIN smartwatch_block a ON a.user_key = s.user_key AND a.window_start_day = s.window_start_day AND a.window_end_day = s.window_end_day
+       LEFT JOIN environment_block e ON e.user_key = s.user_key AND e.window_start_day = s.window_start_day AND e.window_end_day = s.window_end_day
+       WHERE {TRAIN_CELL}""", 5),
+    "samples smartwatch_block environment_block",
+)
+def _(spark, d):
+    cell = samples(spark, d).filter(TRAIN_CELL)
+    return rounded(X.training_table(cell, daily_tables(spark, d), None, ["environment", "smartwatch"]), 5)
+
+
+COVERAGE = "smartinhaler_day_coverage_mean peakflow_day_coverage_mean"
+COVERAGE_SQL = """
+SELECT threshold, input_length_days, washout_days, count(*) AS rows, count(*) FILTER (target = 1) AS positive_rows,
+       count(*) FILTER (target = 0) AS negative_rows, avg(smartinhaler_day_coverage) AS smartinhaler_day_coverage_mean,
+       avg(peakflow_day_coverage) AS peakflow_day_coverage_mean
+FROM samples s
+LEFT JOIN smartinhaler_block i ON i.user_key = s.user_key AND i.window_start_day = s.window_start_day AND i.window_end_day = s.window_end_day
+LEFT JOIN peakflow_block p ON p.user_key = s.user_key AND p.window_start_day = s.window_start_day AND p.window_end_day = s.window_end_day
+GROUP BY ALL
+"""
+
+
+@query("agg_19_coverage_manifest", sql_rounded(COVERAGE, COVERAGE_SQL), "samples smartinhaler_block peakflow_block")
+def _(spark, d):
+    return rounded(X.coverage_manifest(training(spark, d, cell="true")))
+
+
+@query("pip_12_write_cells", sql_rounded(COVERAGE, COVERAGE_SQL), "samples smartinhaler_block peakflow_block")
+def _(spark, d):
+    path = f"{scratch_dir(spark)}/cells"
+    write_grid(training(spark, d, cell="true"), path)
+    return rounded(X.coverage_manifest(spark.read.parquet(path)))
+
+
+BLOCK_SQL = ", ".join(
+    [f"coalesce(CAST(i.{c} AS DOUBLE), -1) AS {c}" for c in Q.DAILY_COLUMNS["smartinhaler"]]
+    + ["CAST(i.user_key IS NULL AS INTEGER) AS smartinhaler_missing"]
+    + [f"coalesce(CAST(p.{c} AS DOUBLE), -1) AS {c}" for c in Q.DAILY_COLUMNS["peakflow"]]
+    + ["CAST(p.user_key IS NULL AS INTEGER) AS peakflow_missing"]
+    + [f"coalesce(CAST(w.{c} AS DOUBLE), -1) AS {c}" for c in S.SYMPTOM_COLUMNS]
+    + ["CAST(w.user_key IS NULL AS INTEGER) AS weekly_score_missing"]
+)
+PATIENT_COLS = (
+    STATIC_DOUBLES + [f"patient_sex_{v}" for v in [*SEGMENTS, "nan"]] + [f"patient_region_{v}" for v in [*REGIONS, "nan"]]
+)
+MULTIMODAL = f"""
+SELECT a.*, {BLOCK_SQL}, {', '.join(f'coalesce(CAST(t.{c} AS DOUBLE), -1) AS {c}' for c in PATIENT_COLS)}
+FROM (SELECT *, CAST(floor((anchor_relative_minute - 1440) / 1440.0) AS INTEGER) AS start_day FROM anchors) a
+LEFT JOIN smartinhaler_daily i ON i.user_key = a.user_key AND i.date = a.start_day
+LEFT JOIN peakflow_daily p ON p.user_key = a.user_key AND p.date = a.start_day
+ASOF LEFT JOIN weekly w ON w.user_key = a.user_key AND w.date < a.start_day
+LEFT JOIN patient_static t ON t.user_key = a.user_key
+"""
+MULTI_DOUBLES = Q.PF_DOUBLES + STATIC_DOUBLES
+
+
+def multimodal(spark, d):
+    return WN.multimodal_block(
+        LB.anchors(spark, d), D.inhaler_daily(V.inhaler(spark, d)),
+        D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)), V.weekly(spark, d), D.patient_static(V.patient(spark, d)),
+    )
+
+
+@query(
+    "pip_13_multimodal_block",
+    sql_rounded(MULTI_DOUBLES, MULTIMODAL),
+    "anchors smartinhaler_daily peakflow_daily weekly patient_static",
+)
+def _(spark, d):
+    return rounded(multimodal(spark, d))
+
+
+@query(
+    "jon_09_window_start_day",
+    """SELECT a.user_key, a.anchor_relative_minute, a.start_day, i.smartinhaler_total_actuations
+       FROM (SELECT *, CAST(floor((anchor_relative_minute - 1440) / 1440.0) AS INTEGER) AS start_day FROM anchors) a
+       LEFT JOIN smartinhaler_daily i ON i.user_key = a.user_key AND i.date = a.start_day""",
+    "anchors smartinhaler_daily",
+)
+def _(spark, d):
+    left = LB.anchors(spark, d).withColumn("start_day", E.window_first_day("anchor_relative_minute"))
+    daily = D.inhaler_daily(V.inhaler(spark, d)).select(
+        "user_key", F.col("date").alias("start_day"), "smartinhaler_total_actuations"
+    )
+    return left.join(daily, ["user_key", "start_day"], "left")
+
+
+@query(
+    "agg_32_missing_modality",
+    sql_rounded("missing_rate", """SELECT source, avg(missing) AS missing_rate FROM (
+         SELECT 'smartinhaler' AS source, CAST(i.user_key IS NULL AS INTEGER) AS missing
+         FROM (SELECT *, floor((anchor_relative_minute - 1440) / 1440.0) AS start_day FROM anchors) a
+         LEFT JOIN smartinhaler_daily i ON i.user_key = a.user_key AND i.date = a.start_day
+         UNION ALL
+         SELECT 'peakflow', CAST(p.user_key IS NULL AS INTEGER)
+         FROM (SELECT *, floor((anchor_relative_minute - 1440) / 1440.0) AS start_day FROM anchors) a
+         LEFT JOIN peakflow_daily p ON p.user_key = a.user_key AND p.date = a.start_day) GROUP BY source"""),
+    "anchors smartinhaler_daily peakflow_daily",
+)
+def _(spark, d):
+    out = multimodal(spark, d).agg(
+        F.avg("smartinhaler_missing").alias("smartinhaler"), F.avg("peakflow_missing").alias("peakflow")
+    )
+    return rounded(out.unpivot([], out.columns, "source", "missing_rate"))
+
+
+@query(
+    "jon_15_concat_by_id",
+    sql_rounded("smartinhaler_day_coverage peakflow_day_coverage", """SELECT user_key, window_start_day, window_end_day, smartinhaler_day_coverage, peakflow_day_coverage
+       FROM smartinhaler_block JOIN peakflow_block USING (user_key, window_start_day, window_end_day)"""),
+    "smartinhaler_block peakflow_block",
+)
+def _(spark, d):
+    index = samples(spark, d)
+    a = WN.window_block(index, D.inhaler_daily(V.inhaler(spark, d)), "smartinhaler", True)
+    b = WN.window_block(index, D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)), "peakflow")
+    keys = WN.WINDOW_KEYS
+    return rounded(a.select(*keys, "smartinhaler_day_coverage").join(b.select(*keys, "peakflow_day_coverage"), keys))
+
+
+# --- dense calendars and tensors ------------------------------------------------------------------
+
+cte("cell_days", "samples", f"""
+SELECT user_key, window_start_day, window_end_day, CAST(unnest(range(window_start_day, window_end_day + 1)) AS INTEGER) AS cell_day
+FROM (SELECT DISTINCT user_key, window_start_day, window_end_day FROM samples WHERE {TRAIN_CELL})
+""")
+
+
+@query(
+    "jon_16_dense_calendar",
+    """SELECT c.user_key, c.window_start_day, c.window_end_day, c.cell_day, s.smartinhaler_total_actuations
+       FROM cell_days c LEFT JOIN smartinhaler_daily s ON s.user_key = c.user_key AND s.date = c.cell_day""",
+    "cell_days smartinhaler_daily",
+)
+def _(spark, d):
+    wins = samples(spark, d).filter(TRAIN_CELL).select(*WN.WINDOW_KEYS).distinct()
+    daily = D.inhaler_daily(V.inhaler(spark, d)).select("user_key", F.col("date").alias("cell_day"), "smartinhaler_total_actuations")
+    return timejoin.dense_calendar(wins, daily, ["user_key"], "window_start_day", "window_end_day", "cell_day")
+
+
+SEQ_PF = ["peakflow_pef_mean", "peakflow_measurement_count"]
+
+
+@query(
+    "pip_15_daily_sequence",
+    sql_rounded("peakflow_pef_mean", """SELECT c.user_key, c.window_start_day, c.cell_day - c.window_start_day AS t,
+         coalesce(s.smartinhaler_total_actuations, 0) AS actuations, p.peakflow_pef_mean, p.peakflow_measurement_count
+       FROM cell_days c LEFT JOIN smartinhaler_daily s ON s.user_key = c.user_key AND s.date = c.cell_day
+       LEFT JOIN peakflow_daily p ON p.user_key = c.user_key AND p.date = c.cell_day"""),
+    "cell_days smartinhaler_daily peakflow_daily",
+)
+def _(spark, d):
+    tables = {
+        "smartinhaler": D.inhaler_daily(V.inhaler(spark, d)),
+        "peakflow": D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)),
+    }
+    long = X.daily_sequence(samples(spark, d).filter(TRAIN_CELL), tables, ["smartinhaler", "peakflow"])
+    return rounded(long.select(
+        "user_key", "window_start_day", "t", F.col("`smartinhaler::smartinhaler_total_actuations`").alias("actuations"),
+        *[F.col(f"`peakflow::{c}`").alias(c) for c in SEQ_PF],
+    ))
+
+
+SEQ_STEP = 240
+cte("minute_steps", "labelled", f"""
+SELECT user_key, anchor_relative_minute, target_binary, unnest(range(anchor_relative_minute - 1440, anchor_relative_minute, {SEQ_STEP})) AS step_minute
+FROM labelled
+""")
+
+
+@query(
+    "pip_14_minute_sequence",
+    sql_rounded("hr steps", """SELECT s.user_key, s.anchor_relative_minute, CAST(s.step_minute - s.anchor_relative_minute + 1440 AS INTEGER) AS t, m.hr, m.steps
+       FROM minute_steps s LEFT JOIN (SELECT user_key, relative_minute, avg(hr) AS hr, avg(steps) AS steps FROM minutes GROUP BY ALL) m
+         ON m.user_key = s.user_key AND m.relative_minute = s.step_minute"""),
+    "minute_steps minutes",
+)
+def _(spark, d):
+    long = X.minute_sequence(LB.labelled(spark, d), minutes(spark, d), ["hr", "steps"], step=SEQ_STEP)
+    return rounded(long.select("user_key", "anchor_relative_minute", "t", "hr", "steps"))
+
+
+@query(
+    "win_08_every_kth_step",
+    """SELECT user_key, window_start_day, window_end_day, array_to_string(list_sort(list(cell_day - window_start_day)), ',') AS kept
+       FROM cell_days WHERE (cell_day - window_start_day) % 3 = 0 GROUP BY ALL""",
+    "cell_days",
+)
+def _(spark, d):
+    wins = samples(spark, d).filter(TRAIN_CELL).select(*WN.WINDOW_KEYS).distinct()
+    days = timejoin.lay_out_days(wins, "window_start_day", "window_end_day")
+    t = F.col("day") - F.col("window_start_day")
+    steps = F.transform(F.array_sort(F.collect_list(t)), lambda x: x.cast("string"))
+    return days.filter(t % 3 == 0).groupBy(*WN.WINDOW_KEYS).agg(F.array_join(steps, ",").alias("kept"))
+
+
+@query(
+    "pip_14_sequence_arrays",
+    """SELECT user_key, anchor_relative_minute, count(*) AS n_steps, CAST(count(hr) AS BIGINT) AS seen,
+              round(sum(CAST(coalesce(hr, 0) AS FLOAT)), 2) + 0 AS hr_total
+       FROM (SELECT s.*, m.hr FROM minute_steps s LEFT JOIN
+              (SELECT user_key, relative_minute, avg(hr) AS hr FROM minutes GROUP BY ALL) m
+              ON m.user_key = s.user_key AND m.relative_minute = s.step_minute)
+       GROUP BY user_key, anchor_relative_minute""",
+    "minute_steps minutes",
+)
+def _(spark, d):
+    long = X.minute_sequence(LB.labelled(spark, d), minutes(spark, d), ["hr"], step=SEQ_STEP)
+    arrays = X.as_arrays(long, ["user_key", "anchor_relative_minute"], ["hr"])
+    seq = F.col("sequence")
+    total = F.aggregate(seq, F.lit(0.0), lambda acc, x: acc + x[0].cast("double"))
+    return arrays.select(
+        "user_key", "anchor_relative_minute", F.size(seq).cast("bigint").alias("n_steps"),
+        F.size(F.filter(seq, lambda x: x[0] > 0)).cast("bigint").alias("seen"), F.round(total, 2).alias("hr_total"),
+    )
+
+
+# --- switches of an experiment --------------------------------------------------------------------
+
+EXP = ["hr_mean", "steps_mean"]
+NEST = """
+SELECT user_key, CASE WHEN is_test THEN 'test' WHEN rn2 <= ceil(n2 * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY is_test ORDER BY md5('43:' || user_key), user_key) AS rn2,
+         count(*) OVER (PARTITION BY is_test) AS n2
+  FROM (SELECT user_key, row_number() OVER (ORDER BY md5('42:' || user_key), user_key) <= ceil(count(*) OVER () * 0.25::DOUBLE) AS is_test
+        FROM (SELECT DISTINCT user_key FROM {src})))
+"""
+cte("exp_rows", "hop_features weekly_targets", """
+SELECT a.user_key, a.anchor_relative_minute, coalesce(a.hr_mean, 0) AS hr_mean, coalesce(a.steps_mean, 0) AS steps_mean,
+       CAST(w.doc_flag OR w.hospital_flag OR w.er_flag OR w.oral_flag AS INTEGER) AS target_binary
+FROM hop_features a ASOF JOIN weekly_targets w
+  ON a.user_key = w.user_key AND a.anchor_relative_minute < w.questionnaire_relative_minute
+WHERE w.questionnaire_relative_minute - a.anchor_relative_minute BETWEEN 0 AND 7 * 1440
+""")
+cte("exp_split", "exp_rows", NEST.format(src="exp_rows"))
+
+
+def experiment_rows(spark, d):
+    from cohortlake.plans import labels as L
+
+    return L.label_windows(hop_features(spark, d), L.weekly_targets(V.weekly(spark, d)))
+
+
+@query(
+    "pip_16_prepare_experiment",
+    sql_rounded(EXP, """SELECT r.user_key, r.anchor_relative_minute, s.split, r.target_binary,
+         (r.hr_mean - z.hm) / CASE WHEN z.hs <= 0 THEN 1 ELSE z.hs END AS hr_mean,
+         (r.steps_mean - z.sm) / CASE WHEN z.ss <= 0 THEN 1 ELSE z.ss END AS steps_mean
+       FROM exp_rows r JOIN exp_split s ON r.user_key = s.user_key,
+         (SELECT avg(hr_mean) AS hm, stddev_pop(hr_mean) AS hs, avg(steps_mean) AS sm, stddev_pop(steps_mean) AS ss
+          FROM exp_rows JOIN exp_split USING (user_key) WHERE split = 'train') z"""),
+    "exp_rows exp_split",
+)
+def _(spark, d):
+    cfg = X.ExperimentConfig(label_name="objective")
+    out = X.prepare_experiment(experiment_rows(spark, d), EXP, cfg)
+    return rounded(out.select("user_key", "anchor_relative_minute", "split", "target_binary", *EXP))
+
+
+# --- storage of samples by grid cell --------------------------------------------------------------
+
+
+@query(
+    "src_06_grid_scan",
+    """SELECT threshold, input_length_days, washout_days, count(*) AS n, CAST(sum(target) AS BIGINT) AS positives FROM samples
+       WHERE (threshold = 2 AND input_length_days = 3 AND washout_days = 0) OR (threshold = 4 AND input_length_days = 14 AND washout_days = 7)
+       GROUP BY ALL""",
+    "samples",
+)
+def _(spark, d):
+    path = f"{scratch_dir(spark)}/samples"
+    write_grid(samples(spark, d), path)
+    cells = read_grid(spark, path, [(2, 3, 0), (4, 14, 7)])
+    return cells.groupBy(*GRID_KEYS).agg(F.count("*").alias("n"), F.sum("target").alias("positives"))
+
+
+@query(
+    "snk_03_write_by_cell",
+    "SELECT threshold, input_length_days, washout_days, count(*) AS n FROM samples GROUP BY ALL",
+    "samples",
+)
+def _(spark, d):
+    path = f"{scratch_dir(spark)}/samples"
+    write_grid(samples(spark, d), path)
+    return spark.read.parquet(path).groupBy(*GRID_KEYS).agg(F.count("*").alias("n"))
+
+
+@query(
+    "snk_04_write_daily_tables",
+    """SELECT 'peakflow' AS source, count(*) AS n FROM peakflow_daily UNION ALL SELECT 'smartinhaler', count(*) FROM smartinhaler_daily
+       UNION ALL SELECT 'smartwatch', count(*) FROM smartwatch_daily UNION ALL SELECT 'environment', count(*) FROM environment_daily""",
+    "peakflow_daily smartinhaler_daily smartwatch_daily environment_daily",
+)
+def _(spark, d):
+    from functools import reduce
+
+    from cohortlake.sources.tables import read_daily_tables
+
+    folder = scratch_dir(spark)
+    tables = daily_tables(spark, d)
+    write_daily_tables(tables, folder)
+    counts = [
+        t.agg(F.count("*").alias("n")).select(F.lit(n).alias("source"), "n")
+        for n, t in read_daily_tables(spark, folder, list(tables)).items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)

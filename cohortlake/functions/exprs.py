@@ -168,19 +168,16 @@ def plus_join(sets: Column) -> Column:
 
 
 def report_number(c: str | Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", col(c)), F.lit("---"))
+    return F.when(col(c).isNotNull(), F.format_string(f"%.{digits}f", col(c))).otherwise("---")
 
 
 def report_int(c: str | Column) -> Column:
-    return F.coalesce(F.format_string("%d", col(c).cast("bigint")), F.lit("---"))
+    return F.when(col(c).isNotNull(), F.format_string("%d", col(c).cast("bigint"))).otherwise("---")
 
 
 def mean_pm_std(mean: str | Column, std: str | Column, digits: int = 3) -> Column:
-    return F.concat(
-        F.format_string(f"%.{digits}f", col(mean)),
-        F.lit(" +/- "),
-        F.format_string(f"%.{digits}f", F.coalesce(col(std), F.lit(0.0))),
-    )
+    spread = F.format_string(f"%.{digits}f", F.coalesce(col(std), F.lit(0.0)))
+    return F.concat(report_number(mean, digits), F.lit(" +/- "), spread)
 
 
 def hash_order(seed: int | str, *keys: str | Column) -> Column:

@@ -30,16 +30,21 @@ def running_totals(
         *[c.alias(n) for c, n in zip(levels, names)],
         *[(F.col(s) if isinstance(s, str) else s).alias(n) for n, s in inputs.items()],
     )
+    totals = {}
+    source = base
+    for depth in range(len(names), 0, -1):
+        # Each coarser level sums the next finer one, so the rows themselves are totalled once.
+        source = source.groupBy(*keys, *names[:depth]).agg(*[F.sum(n).alias(n) for n in inputs])
+        totals[depth] = source
     offsets = None
     for depth in range(1, len(names) + 1):
         part = keys + names[:depth]
-        totals = base.groupBy(*part).agg(*[F.sum(n).alias(n) for n in inputs])
         before = (
             W.partitionBy(*keys, *names[: depth - 1])
             .orderBy(names[depth - 1])
             .rowsBetween(W.unboundedPreceding, -1)
         )
-        step = totals.select(
+        step = totals[depth].select(
             *part, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_{depth}") for n in inputs]
         )
         offsets = step if offsets is None else step.join(offsets, keys + names[: depth - 1])

@@ -54,7 +54,7 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def value_share(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("pct", F.col("count") / total * 100)
 
 

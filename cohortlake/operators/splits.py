@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlake.functions import exprs as E
 from cohortlake.operators.ordering import number_by_hash, number_rows
+from cohortlake.sources.tables import materialize
 
 USER = "user_key"
 
 
 def _users(df: DataFrame, user: str) -> DataFrame:
-    return df.select(user).filter(F.col(user).isNotNull()).distinct()
-
-
-def _count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
+    """Distinct users, written once: the source may be a long job, and the split reads them several times."""
+    return materialize(df.select(user).filter(F.col(user).isNotNull()).distinct())
 
 
 def three_way_split(
@@ -25,36 +25,34 @@ def three_way_split(
     if not (0 < val_frac < 1 and 0 < test_frac < 1 and val_frac + test_frac < 1):
         raise ValueError("fractions must lie in (0, 1) and sum to less than 1")
     users = _users(df, user)
-    n = _count(users)
-    n_test = F.greatest(F.lit(1), F.ceil(n * test_frac))
-    n_val = F.greatest(F.lit(1), F.ceil(n * val_frac))
-    n_val = F.when(n_test + n_val >= n, F.greatest(F.lit(1), n - n_test - 1)).otherwise(n_val)
+    n = users.count()
+    if n < 3:
+        raise ValueError(f"need at least 3 users for a 3-way split, got {n}")
+    n_test = max(1, math.ceil(n * test_frac))
+    n_val = max(1, math.ceil(n * val_frac))
+    if n_test + n_val >= n:
+        n_val = max(1, n - n_test - 1)
     ranked = number_by_hash(users, [], [user], seed)
-    split = (
-        F.when(n < 3, F.raise_error(F.lit("need at least 3 users for a 3-way split")))
-        .when(F.col("rn") <= n_test, "test")
-        .when(F.col("rn") <= n_test + n_val, "val")
-        .otherwise("train")
-    )
+    split = F.when(F.col("rn") <= n_test, "test").when(F.col("rn") <= n_test + n_val, "val").otherwise("train")
     return ranked.select(user, split.alias("split"))
 
 
 def two_way_split(df: DataFrame, seed: int = 42, test_size: float = 0.25, user: str = USER, held: str = "test", rest: str = "train") -> DataFrame:
     users = _users(df, user)
-    n_test = F.ceil(_count(users) * test_size)
+    n_test = math.ceil(users.count() * test_size)
     ranked = number_by_hash(users, [], [user], seed)
     return ranked.select(user, F.when(F.col("rn") <= n_test, held).otherwise(rest).alias("split"))
 
 
 def nested_split(df: DataFrame, seed: int = 42, test_size: float = 0.25, val_size: float = 0.20, user: str = USER) -> DataFrame:
     """Outer test split, then a validation split of the remaining users with the next seed."""
-    outer = two_way_split(df, seed, test_size, user)
+    outer = materialize(two_way_split(df, seed, test_size, user))
     test = outer.filter(F.col("split") == "test")
     inner = two_way_split(outer.filter(F.col("split") == "train"), seed + 1, val_size, user, held="val")
     return test.unionByName(inner)
 
 
-def _best_trial(stats: DataFrame, k: Column, overall: Column, n_trials: int, seed: str, user: str) -> DataFrame:
+def _best_trial(stats: DataFrame, k: int, overall: float, n_trials: int, seed: str, user: str) -> DataFrame:
     """Users held out by the trial whose weighted positive rate is closest to the overall one."""
     laid = stats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
     h = E.hash_order(seed, "trial", user)
@@ -62,20 +60,20 @@ def _best_trial(stats: DataFrame, k: Column, overall: Column, n_trials: int, see
     held = ranked.filter(F.col("rn") <= k)
     gap = F.abs(F.sum("pos") / F.sum("n") - overall)
     gaps = held.groupBy("trial").agg(F.round(gap, 12).alias("gap"))
-    best = gaps.agg(F.min(F.struct("gap", "trial"))["trial"]).scalar()
-    return held.filter(F.col("trial") == best).select(user)
+    best = gaps.agg(F.min(F.struct("gap", "trial"))["trial"]).first()[0]
+    return materialize(held.filter(F.col("trial") == best).select(user))
 
 
 def stratified_split(
     df: DataFrame, target: str, seed: int = 42, test_size: float = 0.25, val_size: float = 0.20, n_trials: int = 64, user: str = USER
 ) -> DataFrame:
     """Best of ``n_trials`` random user splits by the gap of the positive rate, outer and then inner."""
-    stats = df.groupBy(user).agg(F.sum(target).alias("pos"), F.count(F.lit(1)).alias("n"))
-    overall = stats.agg(F.sum("pos") / F.sum("n")).scalar()
-    k_test = F.greatest(F.lit(2), F.rint(_count(stats) * test_size))
+    stats = materialize(df.groupBy(user).agg(F.sum(target).alias("pos"), F.count(F.lit(1)).alias("n")))
+    overall, n = stats.agg(F.sum("pos") / F.sum("n"), F.count(F.lit(1))).first()
+    k_test = max(2, round(test_size * n))
     test = _best_trial(stats, k_test, overall, n_trials, f"{seed}:outer", user)
     rest = stats.join(test, user, "left_anti")
-    k_val = F.greatest(F.lit(1), F.rint(_count(rest) * val_size))
+    k_val = max(1, round(val_size * (n - k_test)))
     val = _best_trial(rest, k_val, overall, n_trials, f"{seed}:inner", user)
     return (
         stats.select(user)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from cohortlake.functions import exprs as E
 from cohortlake.operators.timejoin import nearest_row, rows_in_intervals
 from cohortlake.sources import schemas as S
-from cohortlake.sources.tables import require_columns, write_report_csv
+from cohortlake.sources.tables import materialize, require_columns, write_report_csv
 
 USER, DATE = "user_key", "date"
 V1_FLAGS = ["doc_flag", "hospital_flag", "er_flag", "oral_flag", "symptom_flag"]
@@ -69,7 +69,7 @@ def label_windows(windows: DataFrame, targets: DataFrame, max_horizon_days: int
 
 def label_summary(labeled: DataFrame, target: str = "target_binary") -> DataFrame:
     counts = labeled.groupBy(F.col(target).alias("label")).agg(F.count(F.lit(1)).alias("count"))
-    total = labeled.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("pct", F.col("count") / total * 100)
 
 
@@ -259,10 +259,13 @@ class LabelTables:
 
 
 def build_labels(weekly: DataFrame, daily: DataFrame, thresholds: Sequence[int] = (2, 3, 4)) -> LabelTables:
-    """All label tables, lazily; the threshold is a column, not a loop."""
-    events = weekly_events(weekly)
+    """All label tables; the threshold is a column, not a loop.
+
+    Event weeks and probable days each have several readers downstream, so they are written once.
+    """
+    events = materialize(weekly_events(weekly))
     scores = scores_in_positive_weeks(daily_scores(daily), events)
-    probable = probable_event_days(events, scores, thresholds)
+    probable = materialize(probable_event_days(events, scores, thresholds))
     runs = episodes(probable)
     return LabelTables(events, scores, probable, runs, summarize(events, scores, probable, runs))
 
@@ -281,7 +284,7 @@ def label_windows_by_onset(windows: DataFrame, probable: DataFrame, horizon_days
     Windows whose horizon passes the user's last known day are dropped. The gap to the next event day stays
     filled beyond the horizon. Without any event day nothing is dropped and every target is 0.
     """
-    days = probable.select(USER, "event_day").distinct()
+    days = materialize(probable.select(USER, "event_day").distinct())
     base = windows.withColumn("end_day", E.window_end_day("anchor_relative_minute"))
     hit = nearest_row(
         base, days.withColumnRenamed("event_day", "next_event_day"), [USER], "end_day", "next_event_day",
@@ -292,7 +295,7 @@ def label_windows_by_onset(windows: DataFrame, probable: DataFrame, horizon_days
     known = last_end.join(last_event, USER, "left").select(
         USER, F.greatest("_last_end", "_last_event").alias("_known_until")
     )
-    no_events = days.agg(F.count(F.lit(1)) == 0).scalar()
+    no_events = F.lit(days.isEmpty())
     gap = F.col("next_event_day") - F.col("end_day")
     return (
         hit.join(known, USER)
