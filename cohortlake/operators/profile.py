@@ -82,12 +82,15 @@ def flag_audit(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 def flag_correlations(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(flags) for b in flags[i + 1 :]]
     num = {f: F.col(f).cast("double") for f in flags}
-    one = df.agg(*[F.corr(num[a], num[b]).alias(f"{a}|{b}") for a, b in pairs])
+
+    def corr(x: Column, y: Column) -> Column:
+        # The built-in corr divides by zero for a constant flag.
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    one = df.agg(*[corr(num[a], num[b]).alias(f"{a}|{b}") for a, b in pairs])
     long = one.unpivot([], one.columns, "pair", "corr")
-    return long.select(
-        F.split("pair", r"\|")[0].alias("flag_a"), F.split("pair", r"\|")[1].alias("flag_b"),
-        F.when(~F.isnan("corr"), F.col("corr")).alias("corr"),
-    )
+    names = F.split("pair", r"\|")
+    return long.select(names[0].alias("flag_a"), names[1].alias("flag_b"), "corr")
 
 
 def rule_sweep(df: DataFrame, rules: dict[str, Column], user: str) -> DataFrame:

@@ -1,7 +1,5 @@
 """Explicit schemas of the study's input files."""
 
-from pyspark.sql import types as T
-
 # Fixed values (must equal the source files' headers and codings).
 SMARTWATCH = "user_key INT, date SMALLINT, time STRING, activity_type FLOAT, intensity FLOAT, steps FLOAT, hr FLOAT"
 WEEKLY = (
@@ -45,6 +43,3 @@ SPLIT_MANIFEST = (
     "test_users ARRAY<BIGINT>"
 )
 
-
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
