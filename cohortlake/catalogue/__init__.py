@@ -4,6 +4,7 @@ from cohortlake.catalogue import (  # noqa: F401
     aggregates,
     evaluation,
     labelling,
+    modelling,
     projections,
     splitting,
     storage,

@@ -92,7 +92,7 @@ def _(spark, d):
 
 @query(
     "evl_06_best_f1_threshold",
-    sql_rounded("best_f1", """SELECT config, t AS threshold, f1 AS best_f1 FROM (
+    sql_rounded("best_f1", """SELECT config, t AS score_cut, f1 AS best_f1 FROM (
          SELECT *, row_number() OVER (PARTITION BY config ORDER BY f1 DESC, t) AS rn FROM (
            SELECT c.config, c.t, 2.0::DOUBLE * count(*) FILTER (p.y_prob >= c.t AND p.y_true = 1)
                   / (count(*) FILTER (p.y_prob >= c.t) + sum(p.y_true)) AS f1, count(*) FILTER (p.y_prob >= c.t) AS hits
@@ -101,10 +101,10 @@ def _(spark, d):
     "preds",
 )
 def _(spark, d):
-    return rounded(R.best_f1_threshold(V.preds(spark, d), K)).withColumn("threshold", F.round("threshold", 4))
+    return rounded(R.best_f1_threshold(V.preds(spark, d), K)).withColumn("score_cut", F.round("score_cut", 4))
 
 
-FLOOR_SQL = """SELECT config, v AS {out}, y_prob AS threshold FROM (
+FLOOR_SQL = """SELECT config, v AS {out}, y_prob AS score_cut FROM (
   SELECT config, y_prob, {value} AS v, row_number() OVER (PARTITION BY config ORDER BY {value} DESC, y_prob) AS rn
   FROM cum WHERE {floor_on} >= {floor}) WHERE rn = 1"""
 PREC, REC = "cum_pos / CAST(cum_n AS DOUBLE)", "cum_pos / CAST(pos AS DOUBLE)"
@@ -116,7 +116,7 @@ PREC, REC = "cum_pos / CAST(cum_n AS DOUBLE)", "cum_pos / CAST(pos AS DOUBLE)"
     "cum",
 )
 def _(spark, d):
-    return rounded(R.recall_at_precision(V.preds(spark, d), K, 0.1)).withColumn("threshold", F.round("threshold", 4))
+    return rounded(R.recall_at_precision(V.preds(spark, d), K, 0.1)).withColumn("score_cut", F.round("score_cut", 4))
 
 
 @query(
@@ -125,25 +125,25 @@ def _(spark, d):
     "cum",
 )
 def _(spark, d):
-    return rounded(R.precision_at_recall(V.preds(spark, d), K, 0.5)).withColumn("threshold", F.round("threshold", 4))
+    return rounded(R.precision_at_recall(V.preds(spark, d), K, 0.5)).withColumn("score_cut", F.round("score_cut", 4))
 
 
 @query(
     "evl_09_roc_points",
-    sql_rounded("fpr tpr", "SELECT config, y_prob AS threshold, (cum_n - cum_pos) / CAST(n - pos AS DOUBLE) AS fpr, cum_pos / CAST(pos AS DOUBLE) AS tpr FROM cum"),
+    sql_rounded("fpr tpr", "SELECT config, y_prob AS score_cut, (cum_n - cum_pos) / CAST(n - pos AS DOUBLE) AS fpr, cum_pos / CAST(pos AS DOUBLE) AS tpr FROM cum"),
     "cum",
 )
 def _(spark, d):
-    return rounded(R.roc_points(V.preds(spark, d), K)).withColumn("threshold", F.round("threshold", 4))
+    return rounded(R.roc_points(V.preds(spark, d), K)).withColumn("score_cut", F.round("score_cut", 4))
 
 
 @query(
     "evl_10_pr_points",
-    sql_rounded("recall precision prevalence", f"SELECT config, y_prob AS threshold, {REC} AS recall, {PREC} AS precision, pos / CAST(n AS DOUBLE) AS prevalence FROM cum"),
+    sql_rounded("recall precision prevalence", f"SELECT config, y_prob AS score_cut, {REC} AS recall, {PREC} AS precision, pos / CAST(n AS DOUBLE) AS prevalence FROM cum"),
     "cum",
 )
 def _(spark, d):
-    return rounded(R.pr_points(V.preds(spark, d), K)).withColumn("threshold", F.round("threshold", 4))
+    return rounded(R.pr_points(V.preds(spark, d), K)).withColumn("score_cut", F.round("score_cut", 4))
 
 
 @query(
@@ -166,7 +166,7 @@ def _(spark, d):
 
 
 cte("sweep", "preds", """
-SELECT config, round(t / 100.0::DOUBLE, 2) AS threshold, count(*) FILTER (y_prob >= t / 100.0::DOUBLE AND y_true = 1) AS tp,
+SELECT config, round(t / 100.0::DOUBLE, 2) AS score_cut, count(*) FILTER (y_prob >= t / 100.0::DOUBLE AND y_true = 1) AS tp,
        count(*) FILTER (y_prob >= t / 100.0::DOUBLE AND y_true = 0) AS fp,
        count(*) FILTER (y_prob < t / 100.0::DOUBLE AND y_true = 1) AS fn,
        count(*) FILTER (y_prob < t / 100.0::DOUBLE AND y_true = 0) AS tn
@@ -181,13 +181,13 @@ FROM sweep
 
 @query("evl_13_threshold_sweep", sql_rounded("accuracy precision recall f1", "SELECT * FROM sweep_rates"), "sweep_rates")
 def _(spark, d):
-    return rounded(R.threshold_sweep(V.preds(spark, d), K)).withColumn("threshold", F.round("threshold", 2))
+    return rounded(R.threshold_sweep(V.preds(spark, d), K)).withColumn("score_cut", F.round("score_cut", 2))
 
 
 @query(
     "evl_13_operating_points",
-    """SELECT config, max(threshold) FILTER (recall >= 0.8) AS high_recall_threshold,
-              min(threshold) FILTER (precision >= 0.15) AS high_precision_threshold FROM sweep_rates GROUP BY config""",
+    """SELECT config, max(score_cut) FILTER (recall >= 0.8) AS high_recall_cut,
+              min(score_cut) FILTER (precision >= 0.15) AS high_precision_cut FROM sweep_rates GROUP BY config""",
     "sweep_rates",
 )
 def _(spark, d):
@@ -384,12 +384,12 @@ def _(spark, d):
     return RS.shuffle_labels(p, K, "sample_id", "y_true", 7)
 
 
-def block_sql(seed: int) -> str:
+def block_sql(seed: int, perm: int = 0) -> str:
     return f"""
-SELECT r.sample_id, r.user_key, g.user_key AS donor, r.y_true, r.y_prob, l.y_true AS y_true_perm
+SELECT {perm} AS perm, r.sample_id, r.user_key, g.user_key AS donor, r.y_true, r.y_prob, l.y_true AS y_true_perm
 FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY sample_id) AS rn FROM preds) r
 JOIN (SELECT user_key, row_number() OVER (ORDER BY md5('users:' || user_key), user_key) AS place FROM (SELECT DISTINCT user_key FROM preds)) t ON t.user_key = r.user_key
-JOIN (SELECT user_key, n, row_number() OVER (ORDER BY md5('{seed}:' || user_key), user_key) AS place FROM (SELECT user_key, count(*) AS n FROM preds GROUP BY user_key)) g ON g.place = t.place
+JOIN (SELECT user_key, n, row_number() OVER (ORDER BY md5('{seed}:{perm}:' || user_key), user_key) AS place FROM (SELECT user_key, count(*) AS n FROM preds GROUP BY user_key)) g ON g.place = t.place
 JOIN (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY sample_id) AS rn FROM preds) l ON l.user_key = g.user_key AND l.rn = (r.rn - 1) % g.n + 1"""
 
 
@@ -410,7 +410,7 @@ def _(spark, d):
 
 
 N_PERM = 4
-cte("null_draws", "preds", " UNION ALL ".join(f"SELECT {i} AS perm, * FROM ({block_sql(i)})" for i in range(N_PERM)))
+cte("null_draws", "preds", " UNION ALL ".join(f"SELECT * FROM ({block_sql(0, i)})" for i in range(N_PERM)))
 cte("null_metrics", "null_draws", draw_metrics("(SELECT 'all' AS config, perm AS draw, y_prob, y_true_perm AS y_true FROM null_draws)"))
 cte("real_metric", "preds", draw_metrics("(SELECT 'all' AS config, 0 AS draw, y_prob, y_true FROM preds)"))
 NULL_COLS = "real_value null_mean null_std null_q05 null_q50 null_q95 p_value"

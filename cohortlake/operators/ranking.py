@@ -136,7 +136,7 @@ def best_f1_threshold(preds: DataFrame, keys: Sequence[str], default: float = 0.
     both = (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
     return found.select(
         *keys,
-        F.when(both, -F.col("best.neg_cut")).otherwise(default).alias("threshold"),
+        F.when(both, -F.col("best.neg_cut")).otherwise(default).alias("score_cut"),
         F.when(both, F.col("best.f1")).alias("best_f1"),
     )
 
@@ -155,7 +155,7 @@ def _at_floor(preds: DataFrame, keys: Sequence[str], value: str, floor_on: str,
         .select(
             *keys,
             F.when(F.col("pos") > 0, F.coalesce(F.col("best.v"), F.lit(0.0))).alias(out),
-            F.when(F.col("pos") > 0, -F.col("best.neg_cut")).alias("threshold"),
+            F.when(F.col("pos") > 0, -F.col("best.neg_cut")).alias("score_cut"),
         )
     )
 
@@ -172,14 +172,14 @@ def precision_at_recall(preds: DataFrame, keys: Sequence[str], floor: float = 0.
 def roc_points(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     fp, neg = F.col("cum_n") - F.col("cum_pos"), F.col("n") - F.col("pos")
     return cumulative(preds, keys).select(
-        *keys, F.col(P).alias("threshold"), E.ratio(fp, neg).alias("fpr"), E.ratio("cum_pos", "pos").alias("tpr")
+        *keys, F.col(P).alias("score_cut"), E.ratio(fp, neg).alias("fpr"), E.ratio("cum_pos", "pos").alias("tpr")
     )
 
 
 def pr_points(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Precision-recall points and the prevalence line."""
     return cumulative(preds, keys).select(
-        *keys, F.col(P).alias("threshold"), E.ratio("cum_pos", "pos").alias("recall"),
+        *keys, F.col(P).alias("score_cut"), E.ratio("cum_pos", "pos").alias("recall"),
         E.ratio("cum_pos", "cum_n").alias("precision"), E.ratio("pos", "n").alias("prevalence"),
     )
 
@@ -219,14 +219,14 @@ def threshold_sweep(preds: DataFrame, keys: Sequence[str], first: int = 5, last:
         F.sum(F.when(~hit, F.col("_pos")).otherwise(0)).alias("fn"),
         F.sum(F.when(~hit, neg).otherwise(0)).alias("tn"),
     )
-    return swept.withColumns({"threshold": F.round(F.col("_t") / 100.0, 2), **rates()}).drop("_t")
+    return swept.withColumns({"score_cut": F.round(F.col("_t") / 100.0, 2), **rates()}).drop("_t")
 
 
 def operating_points(sweep: DataFrame, keys: Sequence[str], recall: float = 0.8, precision: float = 0.7) -> DataFrame:
     """Highest threshold that keeps the recall and lowest one that reaches the precision."""
     return sweep.groupBy(*keys).agg(
-        F.max(F.when(F.col("recall") >= recall, F.col("threshold"))).alias("high_recall_threshold"),
-        F.min(F.when(F.col("precision") >= precision, F.col("threshold"))).alias("high_precision_threshold"),
+        F.max(F.when(F.col("recall") >= recall, F.col("score_cut"))).alias("high_recall_cut"),
+        F.min(F.when(F.col("precision") >= precision, F.col("score_cut"))).alias("high_precision_cut"),
     )
 
 

@@ -82,19 +82,26 @@ def shuffle_labels(df: DataFrame, within: Sequence[str], ident: str, target: str
     ).drop("rn")
 
 
-def permute_user_blocks(df: DataFrame, user: str, order: str, target: str, seed: int) -> DataFrame:
+def permute_user_blocks(
+    df: DataFrame, user: str, order: str, target: str, seed: int, n_perm: int = 1
+) -> DataFrame:
     """Give every user the label sequence of another user, position by position, wrapping when it is shorter.
 
-    ``order`` is a non-negative integer that orders the rows of a user uniquely.
+    One copy of the rows per permutation 0..n_perm-1, in column ``perm``. The permutations are drawn on the
+    user table, so rows are numbered once whatever their number. ``order`` is a non-negative integer that
+    orders the rows of a user uniquely.
     """
     rows = number_rows(df, [user], integer_levels(F.col(order)), [F.col(order)])
     users = df.groupBy(user).agg(F.count(F.lit(1)).alias("size"))
+    laid = users.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     taker = number_by_hash(users.select(user), [], [user], "users", "place")
-    giver = number_by_hash(users, [], [user], seed, "place")
-    sigma = taker.join(giver.select("place", F.col(user).alias("donor"), F.col("size").alias("donor_n")), "place")
-    placed = rows.join(sigma.drop("place"), user).withColumn("pos", (F.col("rn") - 1) % F.col("donor_n") + 1)
+    giver = number_by_hash(laid, ["perm"], ["perm", user], seed, "place")
+    sigma = taker.join(
+        giver.select("perm", "place", F.col(user).alias("donor"), F.col("size").alias("donor_n")), "place"
+    ).drop("place")
+    placed = rows.join(sigma, user).withColumn("pos", (F.col("rn") - 1) % F.col("donor_n") + 1)
     labels = rows.select(F.col(user).alias("donor"), F.col("rn").alias("pos"), F.col(target).alias(f"{target}_perm"))
-    return placed.join(labels, ["donor", "pos"]).select(*df.columns, "donor", f"{target}_perm")
+    return placed.join(labels, ["donor", "pos"]).select("perm", *df.columns, "donor", f"{target}_perm")
 
 
 def permutation_summary(null: DataFrame, real: DataFrame, config: str = "config", metric: str = "roc_auc") -> DataFrame:

@@ -27,10 +27,11 @@ def class_counts(df: DataFrame, target: str = TARGET) -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def usable_columns(train: DataFrame, cols: Sequence[str]) -> list[str]:
-    """Columns with any training value; one aggregate row decides."""
-    row = train.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] > 0]
+def training_facts(train: DataFrame, cols: Sequence[str]) -> tuple[int, int, list[str]]:
+    """Positives, negatives and the columns with any training value, from one aggregate row."""
+    target = F.col(TARGET)
+    row = train.agg(F.count_if(target == 1), F.count_if(target == 0), *[F.count(c) for c in cols]).first()
+    return int(row[0]), int(row[1]), [c for c, n in zip(cols, row[2:]) if n > 0]
 
 
 def estimator(algo: str, params: dict, n_rows: int, weighted: bool, seed: int):
@@ -57,8 +58,7 @@ def estimator(algo: str, params: dict, n_rows: int, weighted: bool, seed: int):
 def fit(train: DataFrame, features: Sequence[str], algo: str, params: dict | None = None, seed: int = 42) -> PipelineModel:
     """Median imputation, assembly, scaling for the linear model, then the classifier."""
     params = params or {}
-    cols = usable_columns(train, features)
-    n_pos, n_neg = class_counts(train)
+    n_pos, n_neg, cols = training_facts(train, features)
     weight = _weights(algo, params, n_pos, n_neg)
     data = train.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(TARGET).cast("double").alias(TARGET))
     if weight is not None:
@@ -148,9 +148,10 @@ def _tag(df: DataFrame, **labels) -> DataFrame:
 
 
 def _wide_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per config with ``<split>_<metric>`` columns."""
+    """One row per config with ``<split>_<metric>`` columns. Scores are written once, as several metrics read them."""
+    preds = materialize(preds)
     rows = ranking.panel(preds, [*keys, "split"])
-    cuts = ranking.recall_at_precision(preds, [*keys, "split"]).drop("threshold")
+    cuts = ranking.recall_at_precision(preds, [*keys, "split"]).drop("score_cut")
     rows = rows.join(cuts, [*keys, "split"], "left")
     metrics = ["n", "pos", *ranking.PANEL, "recall_at_precision_floor"]
     names = ["train", "val", "test"]
@@ -233,11 +234,11 @@ def refit_and_test(table: DataFrame, split: DataFrame, features: Sequence[str],
         tuning.append(_tag(score(first, data.filter(F.col("split") == "val"), [USER]), algo=algo))
     preds = materialize(_union(final))
     cuts = ranking.best_f1_threshold(_union(tuning), ["algo"])
-    tuned = ranking.confusion(preds.join(cuts.select("algo", "threshold"), "algo"), ["algo"], F.col("threshold"))
+    tuned = ranking.confusion(preds.join(cuts.select("algo", "score_cut"), "algo"), ["algo"], F.col("score_cut"))
     cols = ["f1", "precision", "recall", "accuracy"]
     result = (
         ranking.panel(preds, ["algo"])
-        .join(cuts.select("algo", F.col("threshold").alias("tuned_threshold")), "algo")
+        .join(cuts.select("algo", F.col("score_cut").alias("tuned_threshold")), "algo")
         .join(tuned.select("algo", *[F.col(c).alias(f"test_tuned_{c}") for c in cols]), "algo")
     )
     return result, preds
@@ -262,7 +263,7 @@ def leakage_probe(table: DataFrame, split: DataFrame, features: Sequence[str], a
         mixed = materialize(mixed.withColumn(TARGET, F.col(f"{TARGET}_shuffled")))
         model = fit(mixed.filter(F.col("split") == "train"), features, algo, params, seed)
         scored.append(_tag(score(model, mixed.filter(F.col("split") == "val"), [USER]), shuffle=i))
-    return ranking.panel(_union(scored), ["shuffle"])
+    return ranking.panel(materialize(_union(scored)), ["shuffle"])
 
 
 def probe_gate(summary: DataFrame, value: str = "val_roc_auc_mean", tolerance: float = 0.05) -> DataFrame:
@@ -291,25 +292,20 @@ def lopo(table: DataFrame, features: Sequence[str], algo: str, params: dict, see
             parts.append(test.select(user, "sample_id", F.col(TARGET).cast("int").alias("y_true"), blank))
         else:
             parts.append(score(fit(train, features, algo, params, seed), test, [user, "sample_id"]))
-    return _union(parts)
+    return materialize(_union(parts))
 
 
 def permuted_null(oof: DataFrame, n_perm: int, ident: str = "sample_id", user: str = USER, seed: int = 0) -> DataFrame:
     """Pooled metrics of fixed out-of-fold scores against permuted label blocks, one row per permutation."""
-    parts = []
-    for i in range(n_perm):
-        mixed = resample.permute_user_blocks(oof, user, ident, "y_true", seed + i)
-        parts.append(_tag(mixed.select(F.col("y_true_perm").alias("y_true"), "y_prob"), perm=i))
-    return ranking.auc(_union(parts), ["perm"])
+    mixed = resample.permute_user_blocks(materialize(oof), user, ident, "y_true", seed, n_perm)
+    return ranking.auc(mixed.select("perm", F.col("y_true_perm").alias("y_true"), "y_prob"), ["perm"])
 
 
 def permuted_lopo(table: DataFrame, features: Sequence[str], algo: str, params: dict, n_perm: int, seed: int = 0) -> DataFrame:
     """Pooled metrics of full leave-one-user-out runs on permuted label blocks."""
-    parts = []
-    for i in range(n_perm):
-        mixed = resample.permute_user_blocks(table, USER, "sample_id", TARGET, seed + i)
-        mixed = mixed.withColumn(TARGET, F.col(f"{TARGET}_perm"))
-        parts.append(_tag(lopo(mixed, features, algo, params), perm=i))
+    mixed = materialize(resample.permute_user_blocks(table, USER, "sample_id", TARGET, seed, n_perm))
+    mixed = mixed.withColumn(TARGET, F.col(f"{TARGET}_perm"))
+    parts = [_tag(lopo(mixed.filter(F.col("perm") == i), features, algo, params), perm=i) for i in range(n_perm)]
     return ranking.auc(_union(parts), ["perm"])
 
 
@@ -371,4 +367,4 @@ def grouped_cv(table: DataFrame, features: Sequence[str], models: Sequence[tuple
             if pos and neg:
                 model = fit(train, features, algo, params, seed)
                 scored.append(_tag(score(model, data.filter(F.col("fold") == k), [USER]), algo=algo, fold=k))
-    return ranking.panel(_union(scored), ["algo", "fold"])
+    return ranking.panel(materialize(_union(scored)), ["algo", "fold"])
