@@ -24,7 +24,7 @@ def _(spark, d):
 
 @query("agg_01_smartwatch_daily", sql_rounded(Q.SW_DOUBLES, "SELECT * FROM smartwatch_daily"), "smartwatch_daily")
 def _(spark, d):
-    return rounded(D.smartwatch_daily(minutes_a(spark, d)))
+    return rounded(D.smartwatch_daily(D.add_activity(materialize(minutes(spark, d)))))
 
 
 FRAC = [f"smartwatch_activity_frac_{g}" for g in E.ACTIVITY_GROUPS]
@@ -154,7 +154,8 @@ HOP_DOUBLES = (
 
 
 def hop_features(spark, d):
-    return WN.sliding_window_features(minutes_a(spark, d), WINDOW, STRIDE, MIN_COVERAGE)
+    # Cleaned minutes are a stored stage: spans, bucket sums and medians each read other columns of them.
+    return WN.sliding_window_features(D.add_activity(materialize(minutes(spark, d))), WINDOW, STRIDE, MIN_COVERAGE)
 
 
 @query(
@@ -206,7 +207,8 @@ def _(spark, d):
 
 
 def samples(spark, d):
-    return LB.samples(spark, d)[0]
+    """The sample index as a stored table: every source block reads it again."""
+    return materialize(LB.samples(spark, d)[0])
 
 
 @query("agg_08_window_stats", sql_rounded(Q.window_doubles("smartinhaler"), "SELECT * FROM smartinhaler_block"), "smartinhaler_block")

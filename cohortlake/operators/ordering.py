@@ -16,11 +16,17 @@ from cohortlake.functions.exprs import hash_order
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], levels: Sequence[Column], order: Sequence[Column], sums: dict[str, str | Column]
+    df: DataFrame,
+    keys: Sequence[str],
+    levels: Sequence[Column],
+    order: Sequence[Column],
+    sums: dict[str, str | Column],
+    totals: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums. ``sums`` maps output name to the summed column.
 
-    Keys and levels must not be NULL.
+    With ``totals`` the sum of the whole key group comes along as ``<name>_total``: the coarsest level has
+    it anyway. Keys and levels must not be NULL.
     """
     keys = list(keys)
     names = [f"_lv{i}" for i in range(len(levels))]
@@ -30,34 +36,32 @@ def running_totals(
         *[c.alias(n) for c, n in zip(levels, names)],
         *[(F.col(s) if isinstance(s, str) else s).alias(n) for n, s in inputs.items()],
     )
-    totals = {}
+    per_level = {}
     source = base
     for depth in range(len(names), 0, -1):
         # Each coarser level sums the next finer one, so the rows themselves are totalled once.
         source = source.groupBy(*keys, *names[:depth]).agg(*[F.sum(n).alias(n) for n in inputs])
-        totals[depth] = source
+        per_level[depth] = source
     offsets = None
     for depth in range(1, len(names) + 1):
-        part = keys + names[:depth]
-        before = (
-            W.partitionBy(*keys, *names[: depth - 1])
-            .orderBy(names[depth - 1])
-            .rowsBetween(W.unboundedPreceding, -1)
-        )
-        step = totals[depth].select(
-            *part, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_{depth}") for n in inputs]
-        )
+        group = W.partitionBy(*keys, *names[: depth - 1])
+        before = group.orderBy(names[depth - 1]).rowsBetween(W.unboundedPreceding, -1)
+        cols = [F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_{depth}") for n in inputs]
+        if depth == 1 and totals:
+            cols += [F.sum(n).over(group).alias(f"{n}_total") for n in inputs]
+        step = per_level[depth].select(*keys, *names[:depth], *cols)
         offsets = step if offsets is None else step.join(offsets, keys + names[: depth - 1])
     inside = W.partitionBy(*keys, *names).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = base.select("*", *[F.sum(n).over(inside).alias(f"{n}_0") for n in inputs])
     joined = local.join(offsets, keys + names)
     outs = []
-    for out in sums:
-        n = f"_in_{out}"
+    for out, n in zip(sums, inputs):
         total = F.col(f"{n}_0")
         for depth in range(1, len(names) + 1):
             total = total + F.col(f"{n}_{depth}")
         outs.append(total.alias(out))
+        if totals:
+            outs.append(F.col(f"{n}_total").alias(f"{out}_total"))
     return joined.select(*df.columns, *outs)
 
 
@@ -67,14 +71,14 @@ def integer_levels(c: Column) -> list[Column]:
 
 
 def score_levels(c: Column, descending: bool = False) -> list[Column]:
-    """Levels for a score in [0, 1]."""
-    out = [F.floor(c * 4096), F.floor(c * float(2**24))]
-    return [-x for x in out] if descending else out
+    """A million equal bands for a score in [0, 1]. A key meets at most its bands in one task, never its rows."""
+    band = F.floor(c * float(2**20))
+    return [-band if descending else band]
 
 
 def value_levels(c: Column) -> list[Column]:
-    """Levels for any finite double: about 64 log-spaced buckets per octave, then thousandths."""
-    return [F.floor(F.signum(c) * F.log2(1 + F.abs(c)) * 64), F.floor(c * 1024)]
+    """Log-spaced bands for any finite double, 65536 per octave."""
+    return [F.floor(F.signum(c) * F.log2(1 + F.abs(c)) * 65536)]
 
 
 def number_rows(
@@ -87,7 +91,7 @@ def number_rows(
 def number_by_hash(df: DataFrame, keys: Sequence[str], ident: Sequence[str], seed: int | str, out: str = "rn") -> DataFrame:
     """1-based row number in seeded MD5 order; ``ident`` must identify a row inside its group."""
     h = hash_order(seed, *ident)
-    return number_rows(df, keys, [F.substring(h, 1, 3)], [h, *[F.col(i) for i in ident]], out)
+    return number_rows(df, keys, [F.substring(h, 1, 5)], [h, *[F.col(i) for i in ident]], out)
 
 
 def exact_quantiles(
@@ -109,22 +113,20 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(weight.alias("_n"))
     )
-    ranked = running_totals(counts, keys, value_levels(F.col("_v")), [F.col("_v")], {"_cum": "_n"})
-    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    placed = ranked.join(sizes, keys) if keys else ranked.withColumn("_size", sizes.scalar())
+    placed = running_totals(counts, keys, value_levels(F.col("_v")), [F.col("_v")], {"_cum": "_n"}, totals=True)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum")), F.col("_v")))
 
     aggs = []
     for name, p in probs.items():
-        pos = (F.col("_size") - 1) * F.lit(float(p))
+        pos = (F.col("_cum_total") - 1) * F.lit(float(p))
         aggs += [at(F.floor(pos)).alias(f"{name}_lo"), at(F.ceil(pos)).alias(f"{name}_hi")]
-    aggs.append(F.max("_size").alias("_size"))
+    aggs.append(F.max("_cum_total").alias("_cum_total"))
     found = placed.groupBy(*keys).agg(*aggs)
     outs = []
     for name, p in probs.items():
-        pos = (F.col("_size") - 1) * F.lit(float(p))
+        pos = (F.col("_cum_total") - 1) * F.lit(float(p))
         lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
         outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return found.select(*keys, *outs)

@@ -33,16 +33,16 @@ def cumulative(preds: DataFrame, keys: Sequence[str], weight: str | None = None,
     """
     keys = list(keys)
     base = by_score(preds, keys, weight)
-    totals = base.groupBy(*keys).agg(F.sum("n_at").alias("n"), F.sum("pos_at").alias("pos"))
     if extra_cuts:
         cuts = F.explode(F.array(*[F.lit(float(c)) for c in extra_cuts])).alias(P)
         zero = F.lit(0).cast("bigint")
-        added = totals.select(*keys, cuts).select(*keys, P, zero.alias("n_at"), zero.alias("pos_at"))
+        added = base.select(*keys).distinct().select(*keys, cuts, zero.alias("n_at"), zero.alias("pos_at"))
         base = base.unionByName(added).groupBy(*keys, P).agg(F.sum("n_at").alias("n_at"), F.sum("pos_at").alias("pos_at"))
     ranked = running_totals(
-        base, keys, score_levels(F.col(P), descending=True), [F.col(P).desc()], {"cum_n": "n_at", "cum_pos": "pos_at"}
+        base, keys, score_levels(F.col(P), descending=True), [F.col(P).desc()],
+        {"cum_n": "n_at", "cum_pos": "pos_at"}, totals=True,
     )
-    return ranked.join(totals, keys) if keys else ranked.join(totals)
+    return ranked.withColumnsRenamed({"cum_n_total": "n", "cum_pos_total": "pos"})
 
 
 def _auc_terms() -> tuple[Column, Column]:

@@ -56,7 +56,7 @@ def _best_trial(stats: DataFrame, k: int, overall: float, n_trials: int, seed: s
     """Users held out by the trial whose weighted positive rate is closest to the overall one."""
     laid = stats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
     h = E.hash_order(seed, "trial", user)
-    ranked = number_rows(laid, ["trial"], [F.substring(h, 1, 3)], [h, F.col(user)])
+    ranked = number_rows(laid, ["trial"], [F.substring(h, 1, 5)], [h, F.col(user)])
     held = ranked.filter(F.col("rn") <= k)
     gap = F.abs(F.sum("pos") / F.sum("n") - overall)
     gaps = held.groupBy("trial").agg(F.round(gap, 12).alias("gap"))
@@ -90,10 +90,7 @@ def group_folds(df: DataFrame, n_splits: int = 5, user: str = USER) -> DataFrame
     """
     sizes = df.groupBy(user).agg(F.count(F.lit(1)).alias("n"))
     h = E.hash_order("fold", user)
-    size = F.col("n")
-    ranked = number_rows(
-        sizes, [], [-F.floor(F.log2(size) * 64), -size, F.substring(h, 1, 3)], [h, F.col(user)]
-    )
+    ranked = number_rows(sizes, [], [-F.col("n"), F.substring(h, 1, 5)], [h, F.col(user)])
     lap = F.floor((F.col("rn") - 1) / n_splits)
     place = (F.col("rn") - 1) % n_splits
     fold = F.when(lap % 2 == 0, place).otherwise(n_splits - 1 - place)

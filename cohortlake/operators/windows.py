@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions import exprs as E
 from cohortlake.operators.ordering import exact_quantiles
-from cohortlake.operators.timejoin import lay_out_days
+from cohortlake.operators.timejoin import dense_calendar
 
 USER, DATE, MINUTE = "user_key", "date", "relative_minute"
 
@@ -180,14 +180,15 @@ def window_block(samples: DataFrame, daily: DataFrame, source: str, zero_if_empt
     """Sum, mean, population std, min and max of every numeric daily column over each distinct window.
 
     Grid cells share most windows, so the work is done once per distinct (user, start, end). Windows are
-    laid out by day (28 at most), which turns the range join into an equi join on (user, day).
+    laid out by day (28 at most), which turns the range join into an equi join on (user, day). ``daily`` has
+    one row per (user, day); a window without any keeps its row through the left join.
     """
     cols = numeric_columns(daily)
     windows = samples.select(*WINDOW_KEYS).distinct()
-    days = lay_out_days(windows, "window_start_day", "window_end_day", DATE)
-    hits = days.join(daily.select(USER, DATE, *cols), [USER, DATE])
+    one_per_day = daily.select(USER, DATE, *cols, F.lit(1).alias("_seen"))
+    days = dense_calendar(windows, one_per_day, [USER], "window_start_day", "window_end_day", DATE)
     length = F.col("window_end_day") - F.col("window_start_day") + 1
-    aggs = [F.countDistinct(DATE).cast("double").alias(f"{source}_days_observed")]
+    aggs = [F.count("_seen").cast("double").alias(f"{source}_days_observed")]
     for c in cols:
         v = F.col(c).cast("double")
         aggs += [
@@ -195,8 +196,8 @@ def window_block(samples: DataFrame, daily: DataFrame, source: str, zero_if_empt
             F.stddev_pop(v).alias(f"{c}_window_std"), F.min(v).alias(f"{c}_window_min"),
             F.max(v).alias(f"{c}_window_max"),
         ]
-    stats = windows.join(hits.groupBy(*WINDOW_KEYS).agg(*aggs), WINDOW_KEYS, "left")
-    observed = F.coalesce(f"{source}_days_observed", F.lit(0.0))
+    stats = days.groupBy(*WINDOW_KEYS).agg(*aggs)
+    observed = F.col(f"{source}_days_observed")
     fill = (lambda c: F.coalesce(c, F.lit(0.0))) if zero_if_empty else (lambda c: F.col(c))
     return stats.select(
         *WINDOW_KEYS,
