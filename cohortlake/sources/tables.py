@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortlake.sources import schemas as S
 
@@ -47,11 +47,28 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "table")
     return df
 
 
+def _typed(column: str, kind: str) -> Column:
+    raw = F.col(column)
+    if kind == "STRING":
+        return raw
+    if kind in ("INT", "SMALLINT", "BIGINT"):
+        return raw.try_cast("double").try_cast(kind)  # '3.0' is how a whole number with gaps is often written
+    return raw.try_cast(kind)
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], ddl: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV scan over one or many files with a fixed schema; the projection prunes parsing."""
-    paths = path if isinstance(path, str) else list(path)
-    df = spark.read.schema(ddl).option("nullValue", "NA").option("enforceSchema", False).csv(paths, header=True)
-    return nan_to_null(df.select(*columns) if columns else df)
+    """CSV scan over one or many files. Columns are found by name in each file, so files may differ in column
+    order and carry more columns than asked for; only the asked ones are parsed. Values that do not fit their
+    type become NULL, and so do 'NA' and NaN. No inference pass runs.
+    """
+    kinds = dict(field.split(" ") for field in ddl.split(", "))
+    wanted = list(columns) if columns else list(kinds)
+    parts = []
+    for p in [path] if isinstance(path, str) else path:
+        raw = spark.read.option("nullValue", "NA").csv(p, header=True)
+        require_columns(raw, wanted, p)
+        parts.append(raw.select(*[_typed(c, kinds[c]).alias(c) for c in wanted]))
+    return nan_to_null(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 def read_smartwatch(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
