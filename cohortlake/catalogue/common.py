@@ -44,6 +44,23 @@ def label_tables(spark: SparkSession, d: str, thresholds=(2, 3, 4)) -> L.LabelTa
     return L.build_labels(V.weekly(spark, d), V.daily(spark, d), thresholds)
 
 
+def event_weeks(spark: SparkSession, d: str) -> DataFrame:
+    return L.weekly_events(V.weekly(spark, d))
+
+
+def week_scores(spark: SparkSession, d: str) -> DataFrame:
+    return L.scores_in_positive_weeks(L.daily_scores(V.daily(spark, d)), event_weeks(spark, d))
+
+
+def probable_days(spark: SparkSession, d: str) -> DataFrame:
+    """Probable days alone; where they have one reader nothing needs to be stored."""
+    return L.probable_event_days(event_weeks(spark, d), week_scores(spark, d))
+
+
+def episodes(spark: SparkSession, d: str) -> DataFrame:
+    return L.episodes(probable_days(spark, d))
+
+
 def daily_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {
         "smartwatch": D.smartwatch_daily(minutes_a(spark, d)),

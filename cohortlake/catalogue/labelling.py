@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.catalogue import derived as Q  # noqa: F401  (registers the shared CTEs)
-from cohortlake.catalogue.common import label_tables, minutes, minutes_a, rounded, sql_rounded
+from cohortlake.catalogue.common import (
+    episodes,
+    label_tables,
+    minutes,
+    probable_days,
+    rounded,
+    sql_rounded,
+    week_scores,
+)
 from cohortlake.catalogue.ctes import cte
 from cohortlake.catalogue.registry import query
 from cohortlake.functions import exprs as E
@@ -112,7 +120,7 @@ ONSET = "user_key, anchor_relative_minute, end_day, next_event_day, time_to_even
 
 
 def onset_labelled(spark, d):
-    days = label_tables(spark, d).probable_days.filter("threshold = 3")
+    days = probable_days(spark, d).filter("threshold = 3")
     return L.label_windows_by_onset(anchors(spark, d), days)
 
 
@@ -157,7 +165,7 @@ def _(spark, d):
 
 @query("jon_06_scores_in_positive_weeks", "SELECT * FROM week_scores", "week_scores")
 def _(spark, d):
-    return label_tables(spark, d).daily_scores
+    return week_scores(spark, d)
 
 
 @query("pip_04_weekly_events", "SELECT * FROM weekly_events", "weekly_events")
@@ -208,12 +216,12 @@ def _(spark, d):
 
 @query("agg_11_probable_days", "SELECT * FROM probable", "probable")
 def _(spark, d):
-    return label_tables(spark, d).probable_days
+    return probable_days(spark, d)
 
 
 @query("win_02_episodes", "SELECT * FROM episodes", "episodes")
 def _(spark, d):
-    return label_tables(spark, d).episodes
+    return episodes(spark, d)
 
 
 @query(
@@ -223,7 +231,7 @@ def _(spark, d):
     "episodes",
 )
 def _(spark, d):
-    runs = label_tables(spark, d).episodes
+    runs = episodes(spark, d)
     return runs.groupBy("user_key", "threshold").agg(
         F.count(F.lit(1)).alias("n_episodes"), F.max("episode_id").alias("last_id"),
         F.min("event_onset_day").alias("first_onset"),
@@ -236,7 +244,7 @@ def _(spark, d):
     "episodes",
 )
 def _(spark, d):
-    runs = label_tables(spark, d).episodes
+    runs = episodes(spark, d)
     return runs.groupBy("event_day_sources").agg(
         F.count(F.lit(1)).alias("episodes"),
         F.max(F.size(F.split("event_day_sources", r"\+"))).cast("bigint").alias("n_sources"),
@@ -294,8 +302,7 @@ def _(spark, d):
     "daily_scores probable",
 )
 def _(spark, d):
-    tables = label_tables(spark, d)
-    marked = tables.probable_days.filter("threshold = 2").select("user_key", F.col("event_day").alias("date"), F.lit(True).alias("hit"))
+    marked = probable_days(spark, d).filter("threshold = 2").select("user_key", F.col("event_day").alias("date"), F.lit(True).alias("hit"))
     scores = L.daily_scores(V.daily(spark, d)).select("user_key", "date")
     return scores.join(marked, ["user_key", "date"], "left").select(
         "user_key", "date", F.coalesce("hit", F.lit(False)).alias("is_event_day")

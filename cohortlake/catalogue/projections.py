@@ -450,9 +450,9 @@ def _(spark, d):
     "episodes",
 )
 def _(spark, d):
-    from cohortlake.catalogue.common import label_tables
+    from cohortlake.catalogue.common import episodes
 
-    runs = label_tables(spark, d).episodes.select("user_key", "event_onset_day", "event_end_day", "threshold")
+    runs = episodes(spark, d).select("user_key", "event_onset_day", "event_end_day", "threshold")
     return runs.orderBy("user_key", "event_onset_day", "threshold")
 
 

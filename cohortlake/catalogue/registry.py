@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlake import settings
 from cohortlake.catalogue.ctes import with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +18,7 @@ def query(name: str, sql: str | None = None, ctes: str = "") -> Callable[[QueryF
     def register(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(settings.apply(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = with_ctes(ctes, sql)
         return fn

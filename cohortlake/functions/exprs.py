@@ -12,6 +12,7 @@ from pyspark.sql import Column, functions as F
 
 # Fixed values (must equal the source study's coding).
 DAY_MINUTES = 1440
+TIME_PATTERN = "^([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]$"
 DAY_START_MINUTE = 360
 DAY_END_MINUTE = 1320
 ACTIVITY_CODES = {
@@ -130,10 +131,18 @@ def activity_group(c: str | Column) -> Column:
     return out.otherwise("unknown")
 
 
+def is_time(c: str | Column) -> Column:
+    return col(c).rlike(TIME_PATTERN)
+
+
 def minute_of_day(c: str | Column) -> Column:
-    """'HH:MM:SS' to minutes after midnight, NULL for a bad time."""
-    t = F.try_to_timestamp(col(c), F.lit("HH:mm:ss"))
-    return (F.hour(t) * 60 + F.minute(t)).cast("bigint")
+    """'HH:MM:SS' to minutes after midnight, NULL for a bad time.
+
+    A pattern test and two casts: several times cheaper per row than a timestamp parser.
+    """
+    hour = F.substring_index(col(c), ":", 1)
+    minute = F.substring_index(F.substring_index(col(c), ":", 2), ":", -1)
+    return F.when(is_time(c), hour.cast("bigint") * 60 + minute.cast("bigint"))
 
 
 def is_daytime(c: str | Column) -> Column:

@@ -15,18 +15,17 @@ KEYS = [USER, DATE]
 
 def clean_minutes(raw: DataFrame) -> DataFrame:
     """Distinct rows from day 0 on, impossible readings nulled, study-relative clock added."""
-    minute = E.minute_of_day("time")
+    # Both filters read only columns of the distinct's key, so they run at the scan.
     return (
-        raw.dropDuplicates()
-        .filter(F.col(DATE) >= 0)
+        raw.filter((F.col(DATE) >= 0) & E.is_time("time"))
+        .dropDuplicates()
         .withColumns(
             {
                 "steps": F.when(F.col("steps") >= 0, F.col("steps")),
                 "hr": F.when(F.col("hr") > 0, F.col("hr")),
-                "minutes_from_midnight": minute,
+                "minutes_from_midnight": E.minute_of_day("time"),
             }
         )
-        .dropna(subset=["minutes_from_midnight"])
         .withColumn("relative_minute", F.col(DATE) * E.DAY_MINUTES + F.col("minutes_from_midnight"))
     )
 

@@ -275,7 +275,8 @@ def write_labels(labels: LabelTables, folder: str) -> None:
     write_report_csv(labels.daily_scores, f"{folder}/daily_questionnaire_worsening_scores")
     write_report_csv(labels.summary, f"{folder}/event_label_summary")
     for name, table in (("probable_event_days", labels.probable_days), ("event_episodes", labels.episodes)):
-        table.write.mode("overwrite").partitionBy("threshold").csv(f"{folder}/{name}", header=True)
+        laid = table.hint("rebalance", "threshold")
+        laid.write.mode("overwrite").partitionBy("threshold").csv(f"{folder}/{name}", header=True)
 
 
 def label_windows_by_onset(windows: DataFrame, probable: DataFrame, horizon_days: int = 7, threshold: int = 3) -> DataFrame:

@@ -171,6 +171,9 @@ def params_text(params: dict) -> str:
     return ";".join(f"{k}={params[k]}" for k in sorted(params))
 
 
+MAX_CELLS = 1000
+
+
 def sweep(
     table: DataFrame,
     split: DataFrame,
@@ -188,7 +191,9 @@ def sweep(
         F.count_if((F.col("split") == "train") & (F.col(TARGET) == 0)).alias("tn"),
         F.count_if((F.col("split") == "val") & (F.col(TARGET) == 1)).alias("vp"),
     )
-    usable = counts.filter("tp > 0 and tn > 0 and vp > 0").orderBy(*cell_keys).collect()
+    usable = counts.filter("tp > 0 and tn > 0 and vp > 0").orderBy(*cell_keys).limit(MAX_CELLS + 1).collect()
+    if len(usable) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} grid cells: a sweep fits every model once per cell")
     scored, tried = [], []
     for cell in usable:
         here = [F.col(k) == cell[k] for k in cell_keys]

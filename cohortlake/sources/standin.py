@@ -21,8 +21,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("user_key"),
         F.datediff(F.col("ts").cast("date"), F.lit(STUDY_START).cast("date")).alias("date"),
         F.hour("ts").alias("hour"),
-        F.minute("ts").alias("minute"),
-        F.second("ts").cast("int").alias("second"),
+        F.substring(F.col("ts").cast("string"), 12, 8).alias("hms"),
         "event_type",
         "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
@@ -35,7 +34,7 @@ def raw_minutes(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         "user_key",
         "date",
-        F.when(k == 77, "25:00:00").otherwise(F.format_string("%02d:%02d:%02d", "hour", "minute", "second")).alias("time"),
+        F.when(k == 77, "25:00:00").otherwise(F.col("hms")).alias("time"),
         F.when(kind == "view", 100 + k % 25).otherwise(k).cast("double").alias("activity_type"),
         F.when(kind != "signup", v / 2).alias("intensity"),
         (k - 5).cast("double").alias("steps"),

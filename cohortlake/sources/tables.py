@@ -113,8 +113,10 @@ def write_report_csv(df: DataFrame, path: str) -> None:
 
 
 def write_grid(df: DataFrame, path: str) -> None:
-    """One folder per grid cell. Rows of a cell may sit in several files, so no cell needs one task."""
-    df.write.mode("overwrite").partitionBy(*GRID_KEYS).parquet(path)
+    """One folder per grid cell. The rebalance step gathers a cell's rows into few files and splits a large
+    cell over several tasks, so there are neither tiny files nor a cell that needs one task.
+    """
+    df.hint("rebalance", *GRID_KEYS).write.mode("overwrite").partitionBy(*GRID_KEYS).parquet(path)
 
 
 def read_grid(spark: SparkSession, path: str, keys: Sequence[tuple[int, int, int]]) -> DataFrame:
