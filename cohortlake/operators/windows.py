@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as WS, functions as F
 
 from cohortlake.functions import exprs as E
 from cohortlake.operators.ordering import exact_quantiles
@@ -78,33 +78,56 @@ def _to_anchors(df: DataFrame, window: int, stride: int) -> DataFrame:
     return df.filter(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi)))
 
 
+def _slide(buckets: DataFrame, spans: DataFrame, window: int, stride: int) -> DataFrame:
+    """Add up the bucket summaries of every window: one row per (user, k), window k starting at bucket k.
+
+    A user's buckets are cut into blocks; the few buckets that windows of the block before also need are
+    copied to it. Every block is then a small sorted run with a sliding frame, so the cost is one shuffle of
+    the summaries, whatever the overlap, and a user with a long history is still many tasks.
+    """
+    n = window // stride
+    block = 8 * n
+    at = F.col("bucket")
+    first = F.greatest(F.floor((at - (n - 1)) / block), F.lit(0))
+    held = buckets.withColumn("block", F.explode(F.sequence(first, F.floor(at / block))))
+    shift = (at - F.col("block") * block) * stride
+    moved = {}
+    for m in SLOPES:
+        rows, total, sx, sxx, sxy = (F.col(f"{m}_{p}") for p in ("n", "s", "x", "xx", "xy"))
+        moved |= {
+            f"{m}_x": sx + rows * shift,
+            f"{m}_xx": sxx + 2 * shift * sx + rows * shift * shift,
+            f"{m}_xy": sxy + total * shift,
+        }
+    last = F.floor((F.col("last_minute") - F.col("first_minute") - window) / stride)
+    starts = (
+        spans.filter(last >= 0)
+        .select(USER, "first_minute", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("bucket"))
+        .withColumns({"block": F.floor(at / block), "is_start": F.lit(True)})
+    )
+    both = held.withColumns(moved).drop("last_minute").unionByName(starts, allowMissingColumns=True)
+    frame = WS.partitionBy(USER, "block").orderBy("bucket").rangeBetween(0, n - 1)
+    keys = {USER, "first_minute", "bucket", "block", "is_start"}
+    sums = []
+    for c in (c for c in both.columns if c not in keys):
+        fold = F.min if c.endswith("_lo") else F.max if c.endswith("_hi") else F.sum
+        sums.append(fold(c).over(frame).alias(c))
+    return both.select(USER, "first_minute", at.alias("k"), "is_start", *sums).filter("is_start").drop("is_start")
+
+
 def sliding_window_features(
     minutes_a: DataFrame, window: int = 1440, stride: int = 60, min_coverage: float = 0.70
 ) -> DataFrame:
     """The 32 features of every sliding window with enough coverage.
 
     Windows are half-open and start a whole number of strides after the user's first minute, so each is
-    exactly ``window/stride`` buckets. Buckets are summarised once and then added up per anchor, instead of
+    exactly ``window/stride`` buckets. Buckets are summarised once and then added up per window, instead of
     copying every minute to every window.
     """
     if window % stride:
         raise ValueError("window must be a multiple of stride")
-    spread = _to_anchors(_bucket_partials(minutes_a, stride), window, stride)
-    shift = (F.col("bucket") - F.col("k")) * stride
-    skip = {USER, "first_minute", "last_minute", "bucket", "k"} | {f"{m}_{s}" for m in SLOPES for s in ("x", "xx", "xy")}
-    merged = []
-    for c in (c for c in spread.columns if c not in skip):
-        fold = F.min if c.endswith("_lo") else F.max if c.endswith("_hi") else F.sum
-        merged.append(fold(c).alias(c))
-    for m in SLOPES:
-        n, s, sx, sxx, sxy = (F.col(f"{m}_{p}") for p in ("n", "s", "x", "xx", "xy"))
-        merged += [
-            F.sum(sx + n * shift).alias(f"{m}_x"),
-            F.sum(sxx + 2 * shift * sx + n * shift * shift).alias(f"{m}_xx"),
-            F.sum(sxy + s * shift).alias(f"{m}_xy"),
-        ]
-    keys = [USER, "first_minute", "k"]
-    sums = spread.groupBy(*keys).agg(*merged).filter(F.col("minutes") / window >= min_coverage)
+    slid = _slide(_bucket_partials(minutes_a, stride), user_spans(minutes_a), window, stride)
+    sums = slid.filter(F.col("minutes") / window >= min_coverage)
 
     def mean(m: str) -> Column:
         return E.ratio(f"{m}_s", f"{m}_n")
@@ -153,19 +176,34 @@ def sliding_window_features(
     return out.join(_window_medians(minutes_a, window, stride), [USER, "anchor_relative_minute"], "left")
 
 
-def _window_medians(minutes_a: DataFrame, window: int, stride: int) -> DataFrame:
-    """Median heart rate per window from value counts per bucket."""
+CROWDED = 20_000
+
+
+def _window_medians(minutes_a: DataFrame, window: int, stride: int, crowded: int = CROWDED) -> DataFrame:
+    """Median heart rate per window from value counts per bucket.
+
+    A window normally holds a few hundred distinct values and its median fits one aggregate. Windows over a
+    bucket with more than ``crowded`` distinct values are ranked across tasks instead; both ways are exact.
+    """
+    at = F.floor((F.col(MINUTE) - F.col("first_minute")) / stride).alias("bucket")
+    spans = [USER, "first_minute", "last_minute"]
     counts = (
         minutes_a.filter(F.col("hr").isNotNull())
-        .groupBy(USER, MINUTE, "hr")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select(USER, MINUTE, "hr")
         .join(user_spans(minutes_a), USER)
-        .groupBy(USER, "first_minute", "last_minute", F.floor((F.col(MINUTE) - F.col("first_minute")) / stride).alias("bucket"), "hr")
-        .agg(F.sum("n").alias("n"))
+        .groupBy(*spans, at, "hr")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    anchor = F.col("first_minute") + window + F.col("k") * stride
-    spread = _to_anchors(counts, window, stride).select(USER, anchor.alias("anchor_relative_minute"), "hr", "n")
-    return exact_quantiles(spread, [USER, "anchor_relative_minute"], "hr", {"hr_median": 0.5}, "n")
+    full = counts.groupBy(*spans, "bucket").agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > crowded)
+    hot = _to_anchors(full, window, stride).select(USER, "k").distinct()
+    spread = _to_anchors(counts, window, stride)
+    anchor = (F.col("first_minute") + window + F.col("k") * stride).alias("anchor_relative_minute")
+    usual = spread.join(hot, [USER, "k"], "left_anti").groupBy(USER, anchor).agg(
+        F.percentile("hr", 0.5, F.col("n")).alias("hr_median")
+    )
+    rest = spread.join(hot, [USER, "k"], "left_semi").select(USER, anchor, "hr", "n")
+    ranked = exact_quantiles(rest, [USER, "anchor_relative_minute"], "hr", {"hr_median": 0.5}, "n")
+    return usual.unionByName(ranked)
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = (USER, DATE)) -> list[str]:

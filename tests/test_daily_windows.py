@@ -103,3 +103,13 @@ def test_window_block(frame):
     assert out[1]["a_window_std"] == 1.0 and out[1]["b_window_sum"] is None and out[2]["a_window_mean"] is None
     zero = {r["user_key"]: r for r in W.window_block(samples, daily, "src", True).collect()}
     assert zero[2]["a_window_max"] == 0.0 and zero[1]["b_window_sum"] == 0.0 and zero[2]["src_days_observed"] == 0.0
+
+
+def test_crowded_windows_take_the_ranked_way(frame):
+    minutes = D.add_activity(D.clean_minutes(frame(minute_rows(4), RAW)))
+    usual = W._window_medians(minutes, 720, 240)
+    ranked = W._window_medians(minutes, 720, 240, crowded=30)
+    keys = ["user_key", "anchor_relative_minute"]
+    both = usual.join(ranked.withColumnRenamed("hr_median", "other"), keys, "full").collect()
+    assert len(both) == usual.count() > 5
+    assert all(abs(r["hr_median"] - r["other"]) < 1e-9 for r in both)
