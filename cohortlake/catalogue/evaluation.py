@@ -29,8 +29,8 @@ cte("aucs", "preds cum sized", """
 SELECT s.config, s.n, s.pos,
   (SELECT sum(CASE WHEN a.y_prob > b.y_prob THEN 1.0::DOUBLE WHEN a.y_prob = b.y_prob THEN 0.5::DOUBLE ELSE 0 END)
    FROM preds a JOIN preds b ON a.config = b.config AND a.y_true = 1 AND b.y_true = 0 WHERE a.config = s.config)
-   / (s.pos * (s.n - s.pos)) AS roc_auc,
-  (SELECT sum(pos_at / CAST(pos AS DOUBLE) * cum_pos / cum_n) FROM cum WHERE cum.config = s.config) AS pr_auc
+   / nullif(CAST(s.pos * (s.n - s.pos) AS DOUBLE), 0) AS roc_auc,
+  (SELECT sum(pos_at / nullif(CAST(pos AS DOUBLE), 0) * cum_pos / cum_n) FROM cum WHERE cum.config = s.config) AS pr_auc
 FROM sized s
 """)
 CONFUSION = """
@@ -67,7 +67,8 @@ def _(spark, d):
     return rounded(R.confusion(V.preds(spark, d), K).select("config", "brier"))
 
 
-PANEL_SQL = "SELECT config, n, pos, accuracy, precision, recall, f1, roc_auc, pr_auc, brier FROM confusion JOIN aucs USING (config)"
+PANEL_SQL = """SELECT config, n, pos, accuracy, precision, recall, f1, roc_auc, CASE WHEN pos BETWEEN 1 AND n - 1 THEN pr_auc END AS pr_auc,
+  CASE WHEN pos BETWEEN 1 AND n - 1 THEN brier END AS brier FROM confusion JOIN aucs USING (config)"""
 
 
 @query("evl_05_metric_panel", sql_rounded(R.PANEL, PANEL_SQL), "confusion aucs")
@@ -92,22 +93,24 @@ def _(spark, d):
 
 @query(
     "evl_06_best_f1_threshold",
-    sql_rounded("best_f1", """SELECT config, t AS score_cut, f1 AS best_f1 FROM (
+    sql_rounded("best_f1", """SELECT config, CASE WHEN pos BETWEEN 1 AND n - 1 THEN t ELSE 0.5 END AS score_cut,
+         CASE WHEN pos BETWEEN 1 AND n - 1 THEN f1 END AS best_f1 FROM (
          SELECT *, row_number() OVER (PARTITION BY config ORDER BY f1 DESC, t) AS rn FROM (
            SELECT c.config, c.t, 2.0::DOUBLE * count(*) FILTER (p.y_prob >= c.t AND p.y_true = 1)
                   / (count(*) FILTER (p.y_prob >= c.t) + sum(p.y_true)) AS f1, count(*) FILTER (p.y_prob >= c.t) AS hits
            FROM (SELECT config, y_prob AS t FROM preds UNION SELECT config, 0.5 FROM preds) c JOIN preds p ON p.config = c.config
-           GROUP BY c.config, c.t) WHERE hits > 0) WHERE rn = 1"""),
-    "preds",
+           GROUP BY c.config, c.t) WHERE hits > 0) JOIN sized USING (config) WHERE rn = 1"""),
+    "preds sized",
 )
 def _(spark, d):
     return rounded(R.best_f1_threshold(V.preds(spark, d), K)).withColumn("score_cut", F.round("score_cut", 4))
 
 
-FLOOR_SQL = """SELECT config, v AS {out}, y_prob AS score_cut FROM (
+FLOOR_SQL = """SELECT config, CASE WHEN pos > 0 THEN coalesce(v, 0) END AS {out}, CASE WHEN pos > 0 THEN y_prob END AS score_cut
+FROM sized LEFT JOIN (
   SELECT config, y_prob, {value} AS v, row_number() OVER (PARTITION BY config ORDER BY {value} DESC, y_prob) AS rn
-  FROM cum WHERE {floor_on} >= {floor}) WHERE rn = 1"""
-PREC, REC = "cum_pos / CAST(cum_n AS DOUBLE)", "cum_pos / CAST(pos AS DOUBLE)"
+  FROM cum WHERE pos > 0 AND {floor_on} >= {floor}) b USING (config) WHERE coalesce(rn, 1) = 1"""
+PREC, REC = "cum_pos / CAST(cum_n AS DOUBLE)", "cum_pos / nullif(CAST(pos AS DOUBLE), 0)"
 
 
 @query(
@@ -130,7 +133,7 @@ def _(spark, d):
 
 @query(
     "evl_09_roc_points",
-    sql_rounded("fpr tpr", "SELECT config, y_prob AS score_cut, (cum_n - cum_pos) / CAST(n - pos AS DOUBLE) AS fpr, cum_pos / CAST(pos AS DOUBLE) AS tpr FROM cum"),
+    sql_rounded("fpr tpr", "SELECT config, y_prob AS score_cut, (cum_n - cum_pos) / nullif(CAST(n - pos AS DOUBLE), 0) AS fpr, cum_pos / nullif(CAST(pos AS DOUBLE), 0) AS tpr FROM cum"),
     "cum",
 )
 def _(spark, d):
@@ -326,7 +329,8 @@ CI = "roc_auc pr_auc roc_auc_lo roc_auc_hi pr_auc_lo pr_auc_hi"
 
 @query(
     "rsm_01_row_bootstrap_ci",
-    sql_rounded(CI, """SELECT a.config, a.n, a.pos, a.roc_auc, a.pr_auc, quantile_cont(r.roc_auc, 0.025) AS roc_auc_lo, quantile_cont(r.roc_auc, 0.975) AS roc_auc_hi,
+    sql_rounded(CI, """SELECT a.config, a.n, a.pos, CASE WHEN a.pos BETWEEN 1 AND a.n - 1 AND a.n >= 5 THEN a.roc_auc END AS roc_auc,
+         CASE WHEN a.pos BETWEEN 1 AND a.n - 1 AND a.n >= 5 THEN a.pr_auc END AS pr_auc, quantile_cont(r.roc_auc, 0.025) AS roc_auc_lo, quantile_cont(r.roc_auc, 0.975) AS roc_auc_hi,
          quantile_cont(r.pr_auc, 0.025) FILTER (r.roc_auc IS NOT NULL) AS pr_auc_lo, quantile_cont(r.pr_auc, 0.975) FILTER (r.roc_auc IS NOT NULL) AS pr_auc_hi
        FROM aucs a JOIN row_resamples r ON r.config = a.config GROUP BY ALL"""),
     "aucs row_resamples",
@@ -359,14 +363,14 @@ def _(spark, d):
 
 @query(
     "evl_17_panel_with_interval",
-    sql_rounded("f1 roc_auc pr_auc auc_ci_lo auc_ci_hi", """SELECT c.config, c.f1, a.roc_auc, a.pr_auc, quantile_cont(u.roc_auc, 0.025) AS auc_ci_lo, quantile_cont(u.roc_auc, 0.975) AS auc_ci_hi
+    sql_rounded("f1 roc_auc pr_auc auc_ci_lo auc_ci_hi", """SELECT c.config, c.f1, a.roc_auc, CASE WHEN a.pos BETWEEN 1 AND a.n - 1 THEN a.pr_auc END AS pr_auc, quantile_cont(u.roc_auc, 0.025) AS auc_ci_lo, quantile_cont(u.roc_auc, 0.975) AS auc_ci_hi
        FROM confusion c JOIN aucs a USING (config) JOIN user_resamples u ON u.config = c.config GROUP BY ALL"""),
     "confusion aucs user_resamples",
 )
 def _(spark, d):
     p = V.preds(spark, d)
     ci = RS.interval(RS.cluster_bootstrap(p, K, "user_key", N_BOOT), K, ["roc_auc"])
-    return rounded(R.panel(p, K).join(ci, K).select(
+    return rounded(R.panel(p, K).join(ci, K, "left").select(
         "config", "f1", "roc_auc", "pr_auc", F.col("roc_auc_lo").alias("auc_ci_lo"), F.col("roc_auc_hi").alias("auc_ci_hi")
     ))
 
