@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlake.llm import rendezvous, robust_rules
+from cohortlake.llm import common, rendezvous, robust_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,10 @@ def op8_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight equal shards; ``grown_shard`` is the place under nine."""
     return rendezvous.assign(_documents(spark, sf_dir), [1.0] * 8, [1.0] * 9).withColumn("law", F.lit("key"))
+
+
+@query
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    records = warc.round_trip(pages, common.shared_folder(spark))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
