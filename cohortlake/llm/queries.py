@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlake.llm import common, rendezvous, robust_rules, warc
+from cohortlake.llm import common, decontaminate, line_chunks, quality_fm, rendezvous, robust_rules, toxicity_pu, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,28 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = warc.round_trip(pages, common.shared_folder(spark))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_pu.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_chunks.remove_repeated(_documents(spark, sf_dir), lines="n_lines", removed="n_removed")
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op3_line_chunks"] = line_chunks.ORACLE
+ORACLES["op5_benchmark_leaks"] = decontaminate.ORACLE
