@@ -18,12 +18,14 @@ from cohortlake.llm import common, sparse
 BITS = 18
 POSITIVE_ROWS = 6_000  # most confirmed toxic documents that are learnt from
 UNLABELLED_ROWS = 18_000  # most unlabelled documents that are learnt from
-LEAST_ROWS = 4  # sampled documents that must hold a word for it to have a weight
+LEAST_ROWS = 8  # sampled documents that must hold a word for it to have a weight
+APART = 6.0  # standard errors by which a word's shares of toxic and of unlabelled texts must differ for it
 MODELS = 3  # averaged; each sees other batches
-EPOCHS = 14
-BATCH = 1024
-RATE = 0.03
-DECAY = 2e-4
+STEPS = 800
+RIDGE = 0.08  # pull of the calibration towards leaving scores as they are
+BATCH = 4096
+RATE = 0.05
+DECAY = 2e-5
 THRESHOLD = 0.7
 
 
@@ -51,18 +53,20 @@ class Classifier:
         return sparse.Rows([(s, np.ones(len(s))) for s in slots])
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> None:
-        seen = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=1 << BITS)
-        kept = np.flatnonzero(seen >= LEAST_ROWS)
+        in_p, in_u = (np.bincount(np.concatenate(x), minlength=1 << BITS) for x in (positive, unlabelled))
+        both = (in_p + in_u) / (len(positive) + len(unlabelled))
+        error = np.sqrt(both * (1 - both) * (1 / len(positive) + 1 / len(unlabelled))) + 1e-12
+        apart = np.abs(in_p / len(positive) - in_u / len(unlabelled)) / error
+        kept = np.flatnonzero((in_p + in_u >= LEAST_ROWS) & (apart >= APART))
         self.slot[kept] = np.arange(1, len(kept) + 1)
         self.weights = np.zeros((len(kept) + 1, MODELS))
         p, u = self.rows(positive), self.rows(unlabelled)
-        # Words in nearly all texts say nothing and would only share the bias.
         for m in range(MODELS):
             random = np.random.default_rng(m)
             w, b = np.zeros(len(kept) + 1), np.array([np.log(prior / (1 - prior))])
             step_w, step_b = sparse.Adam(w.shape, RATE), sparse.Adam((1,), RATE)
             batches = max(1, len(u) // BATCH)
-            for _ in range(EPOCHS):
+            for _ in range(max(1, STEPS // batches)):
                 for some_p, some_u in zip(np.array_split(random.permutation(len(p)), batches), np.array_split(random.permutation(len(u)), batches), strict=True):
                     if not len(some_p):
                         some_p = random.integers(0, len(p), 1)
@@ -80,7 +84,25 @@ class Classifier:
                     g[0] = 0
                     step_w.step(w, g)
                     step_b.step(b, np.array([gp.sum() + gu.sum()]))
-            self.weights[:, m], self.bias[m] = w, b[0]
+            self.weights[:, m], self.bias[m] = self._calibrated(w, b[0], p, u, prior)
+
+    @staticmethod
+    def _calibrated(w: np.ndarray, b: float, p: sparse.Rows, u: sparse.Rows, prior: float) -> tuple[np.ndarray, float]:
+        """Scale and shift the raw scores so that they are odds.
+
+        With logistic loss the class-prior-corrected risk is E_u[log(1 + e^f)] - prior * E_p[f]: convex in the two
+        numbers, so a few Newton steps find them, again without a negative example.
+        """
+        fp = np.add.reduceat(w[p.index], p.start) + b
+        fu = np.add.reduceat(w[u.index], u.start) + b
+        xp, xu = np.stack([fp, np.ones_like(fp)], 1), np.stack([fu, np.ones_like(fu)], 1)
+        a, ridge = np.array([1.0, 0.0]), np.diag([RIDGE, RIDGE / 100])
+        for _ in range(30):
+            s = sparse.sigmoid(xu @ a)
+            gradient = (xu * s[:, None]).mean(0) - prior * xp.mean(0) + ridge @ (a - [1.0, 0.0])
+            hessian = (xu * (s * (1 - s))[:, None]).T @ xu / len(xu) + ridge
+            a = a - np.clip(np.linalg.solve(hessian, gradient), -1, 1)
+        return (w * a[0], b * a[0] + a[1]) if a[0] > 0 else (w, b)
 
     def score(self, indexes: list[np.ndarray]) -> np.ndarray:
         x = self.rows(indexes)
@@ -102,8 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Classifier:
         return model
     kind = docs.schema["doc_id"].dataType.simpleString()
     confirmed = common.stage(sparse.sample_ids(known.filter("toxic").select("doc_id"), POSITIVE_ROWS))
-    other = docs.filter(F.col("doc_id").isNotNull() & ~held_out).select("doc_id").distinct().join(known.filter("toxic"), "doc_id", "left_anti")
-    unlabelled = common.stage(sparse.sample_ids(other.select("doc_id"), UNLABELLED_ROWS))
+    # All text of the fold, whatever its label: confirmed examples belong to it at their share.
+    unlabelled = common.stage(sparse.sample_ids(docs.filter(F.col("doc_id").isNotNull() & ~held_out).select("doc_id").distinct(), UNLABELLED_ROWS))
     ids = confirmed.withColumn("positive", F.lit(True)).union(unlabelled.withColumn("positive", F.lit(False)))
     chosen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive")  # bounded by the two samples
     features = common.stage(chosen.mapInPandas(_features, f"doc_id {kind}, positive boolean, index array<int>"))
@@ -111,8 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Classifier:
     rest = sparse.collect_rows(features.filter("not positive"), UNLABELLED_ROWS)["index"].tolist()
     if not positive:
         return model
-    # Unlabelled text stands for all text: confirmed examples belong to it at their share.
-    model.fit(positive, rest + positive[: round(prior * len(rest) / (1 - min(prior, 0.99)))], float(np.clip(prior, 0.001, 0.99)))
+    model.fit(positive, rest, float(np.clip(prior, 0.001, 0.99)))
     return model
 
 
