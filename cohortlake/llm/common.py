@@ -64,18 +64,29 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
+class Prefixes:
+    """Prefix sums of a polynomial modulo 2**64: the hash of any run of a text's word hashes in one step."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        powers, back = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        powers[:1] = back[:1] = 1
+        self.back = np.cumprod(back, dtype=np.uint64)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.back[start])
+
+    def windows(self, size: int) -> np.ndarray:
+        """Hash of each run of ``size`` values."""
+        n = len(self.back) - size + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        return mix((self.total[size:] - self.total[:-size]) * self.back[:n])
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of ``size`` values, by prefix sums of a polynomial modulo 2**64."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    powers = np.full(len(h), _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)])
-    return mix((total[size:] - total[:-size]) * np.cumprod(back, dtype=np.uint64))
+    return Prefixes(h).windows(size) if len(h) >= size else np.empty(0, np.uint64)
 
 
 def shingle_set(h: np.ndarray, size: int) -> np.ndarray:

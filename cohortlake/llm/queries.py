@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlake.llm import common, decontaminate, line_chunks, quality_fm, rendezvous, robust_rules, toxicity_pu, warc
+from cohortlake.llm import common, decontaminate, line_chunks, quality_fm, rendezvous, robust_rules, seed_extend, toxicity_pu, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_line_chunks"] = line_chunks.ORACLE
 ORACLES["op5_benchmark_leaks"] = decontaminate.ORACLE
+
+
+@query
+def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_extend.remove_repeats(_documents(spark, sf_dir)).drop("kept", "ranges")
