@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlake.llm import common, decontaminate, line_chunks, quality_fm, rendezvous, robust_rules, seed_extend, toxicity_pu, warc
+from cohortlake.llm import common, decontaminate, line_chunks, packing, quality_fm, rendezvous, robust_rules, seed_extend, toxicity_pu, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +68,8 @@ ORACLES["op5_benchmark_leaks"] = decontaminate.ORACLE
 @query
 def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_extend.remove_repeats(_documents(spark, sf_dir)).drop("kept", "ranges")
+
+
+@query
+def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
