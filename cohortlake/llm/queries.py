@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlake.llm import common, decontaminate, line_chunks, packing, quality_fm, rendezvous, robust_rules, seed_extend, toxicity_pu, warc
+from cohortlake.llm import common, decontaminate, line_chunks, ngram_join, packing, quality_fm, rendezvous, robust_rules, seed_extend, toxicity_pu, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_documents(spark, sf_dir)).drop("key", "label")
