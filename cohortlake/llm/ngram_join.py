@@ -195,4 +195,4 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
     stays = classes.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.c").alias("_key"))
     kept = keyed.filter(~blank).join(stays, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.union(keyed.filter(blank)).drop("_key")
+    return kept.unionByName(keyed.filter(blank)).select(docs.columns)
