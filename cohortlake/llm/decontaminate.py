@@ -94,10 +94,11 @@ def leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> Da
 
 def drop_leaks(docs: DataFrame, items: DataFrame, contained: float = CONTAINED) -> DataFrame:
     """The documents that hold no item. Null texts and ids stay."""
-    keyed = docs.withColumn("_key", common.row_key())
-    marked = keyed.select(F.col("_key").alias("doc_id"), "text")
-    found = leaks(marked, items, contained).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(found, "_key", "left_anti").drop("_key")
+    key = common.unused(docs, "key")
+    keyed = docs.withColumn(key, common.row_key())
+    marked = keyed.select(F.col(key).alias("doc_id"), "text")
+    found = leaks(marked, items, contained).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(docs.columns)
 
 
 ORACLE = r"""

@@ -84,24 +84,25 @@ def remove_repeated(docs: DataFrame, average: int = AVERAGE, lines: str | None =
     that repeat id and text get the same result and don't count as a repetition. Null texts stay null with zero
     lines. Other columns pass through.
     """
-    keyed = docs.withColumn("_key", common.row_key())
-    gone = repeated_chunks(keyed.select(F.col("_key").alias("key"), "doc_id", "text"), average)
-    gone = gone.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("_gone"))
+    key, ranges = common.unused(docs, "key"), common.unused(docs, "gone")
+    keyed = docs.withColumn(key, common.row_key())
+    gone = repeated_chunks(keyed.select(F.col(key).alias("key"), "doc_id", "text"), average)
+    gone = gone.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias(ranges))
 
     def kept(all_lines: Column) -> Column:
         def between(k: Column) -> Column:
-            before, after = F.get("_gone", k - 1), F.get("_gone", k)
+            before, after = F.get(ranges, k - 1), F.get(ranges, k)
             start = F.coalesce(before["start"] + before["n"], F.lit(0))
             return F.slice(all_lines, start + 1, F.coalesce(after["start"], F.size(all_lines)) - start)
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), between))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ranges)), between))
 
-    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(let(F.split("text", "\n"), kept), "\n"))
-    out = keyed.join(gone, "_key", "left")
+    cut = F.when(F.col(ranges).isNull(), F.col("text")).otherwise(F.array_join(let(F.split("text", "\n"), kept), "\n"))
+    out = keyed.join(gone, key, "left")
     columns = [cut.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     counts = {
         lines: F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long"),
-        removed: F.coalesce(F.aggregate("_gone", F.lit(0), lambda a, c: a + c["n"]), F.lit(0)).cast("long"),
+        removed: F.coalesce(F.aggregate(ranges, F.lit(0), lambda a, c: a + c["n"]), F.lit(0)).cast("long"),
     }
     return out.select(*columns, *[F.when(F.col("text").isNull(), F.lit(0)).otherwise(v).cast("long").alias(k) for k, v in counts.items() if k])
 

@@ -189,10 +189,11 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A class whose ids are all null keeps the row with the smallest text hash.
     """
-    keyed = docs.withColumn("_key", common.row_key())
+    key = common.unused(docs, "key")
+    keyed = docs.withColumn(key, common.row_key())
     blank = ~common.text_or_empty().rlike(common.WORD)
     classes = join(keyed.filter(~blank), threshold)
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
-    stays = classes.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.c").alias("_key"))
-    kept = keyed.filter(~blank).join(stays, "_key", "left_semi").dropDuplicates(["_key"])
+    stays = classes.groupBy("label").agg(F.min(place).alias("first")).select(F.col("first.c").alias(key))
+    kept = keyed.filter(~blank).join(stays, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(keyed.filter(blank)).select(docs.columns)

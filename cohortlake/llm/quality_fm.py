@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, most: int = TRAIN_ROWS)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     ids = common.stage(sparse.sample_ids(known, most))
-    chosen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "n_chars", "label")  # ids: TRAIN_ROWS rows at most
+    chosen = docs.select("doc_id", "text", "n_chars").join(F.broadcast(ids), "doc_id")  # ids: TRAIN_ROWS rows at most
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, index array<long>, value array<double>"
     table = sparse.collect_rows(chosen.mapInPandas(_features, kinds), most)
     machine = Machine(len(STRUCTURE) + (1 << BITS), FACTORS)

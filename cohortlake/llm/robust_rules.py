@@ -178,6 +178,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None, cutoff: float = CUTOFF
 
 def filter_documents(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows that the rules keep, with their own columns."""
-    key = common.row_key()
-    verdict = judge(docs.withColumn("_key", key), ["_key"], cutoff).filter("kept").select("_key").distinct()
-    return docs.withColumn("_key", key).join(verdict, "_key", "left_semi").drop("_key")
+    key = common.unused(docs, "key")
+    keyed = docs.withColumn(key, common.row_key())
+    verdict = judge(keyed.select(key, "text", "lang", "source"), [key], cutoff).filter("kept").select(key).distinct()
+    return keyed.join(verdict, key, "left_semi").select(docs.columns)

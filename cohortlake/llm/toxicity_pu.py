@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Classifier:
     # All text of the fold, whatever its label: confirmed examples belong to it at their share.
     unlabelled = common.stage(sparse.sample_ids(docs.filter(F.col("doc_id").isNotNull() & ~held_out).select("doc_id").distinct(), UNLABELLED_ROWS))
     ids = confirmed.withColumn("positive", F.lit(True)).union(unlabelled.withColumn("positive", F.lit(False)))
-    chosen = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "positive")  # bounded by the two samples
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by the two samples
     features = common.stage(chosen.mapInPandas(_features, f"doc_id {kind}, positive boolean, index array<int>"))
     positive = sparse.collect_rows(features.filter("positive"), POSITIVE_ROWS)["index"].tolist()
     rest = sparse.collect_rows(features.filter("not positive"), UNLABELLED_ROWS)["index"].tolist()

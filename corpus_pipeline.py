@@ -20,8 +20,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the new text.
     """
-    cut = line_chunks.remove_repeated(docs, removed="_removed")
-    left = cut.filter((F.col("_removed") == 0) | F.col("text").rlike(common.WORD)).drop("_removed")
+    removed = common.unused(docs, "removed")
+    cut = line_chunks.remove_repeated(docs, removed=removed)
+    left = cut.filter((F.col(removed) == 0) | F.col("text").rlike(common.WORD))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
