@@ -266,7 +266,7 @@ SELECT config, user_key, n, pos, CASE WHEN pos > 0 AND pos < n THEN roc / (pos *
      WHERE x.config = g.config AND x.user_key = g.user_key AND g.pos > 0) AS pr
   FROM (SELECT config, user_key, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS pos FROM preds GROUP BY ALL) g)"""), "preds")
 def _(spark, d):
-    return rounded(R.guarded_auc(V.preds(spark, d), ["config", "user_key"]))
+    return rounded(R.auc(V.preds(spark, d), ["config", "user_key"]))
 
 
 @query(
@@ -306,7 +306,7 @@ cte("row_numbers", "preds", """
 SELECT *, row_number() OVER (PARTITION BY config ORDER BY md5('rows:' || sample_id), sample_id) - 1 AS idx, count(*) OVER (PARTITION BY config) AS size FROM preds
 """)
 cte("row_draws", "row_numbers", f"""
-SELECT n.config, n.draw, CAST(('0x' || substr(md5('42:' || n.draw || ':' || n.idx), 1, 8)) AS BIGINT) % n.size AS idx
+SELECT n.config, n.draw, CAST(('0x' || substr(md5('42:' || n.draw || ':' || n.idx), 1, 15)) AS BIGINT) % n.size AS idx
 FROM (SELECT *, unnest(range({N_BOOT})) AS draw FROM row_numbers) n
 """)
 
@@ -351,7 +351,7 @@ FROM (SELECT DISTINCT config, user_key FROM preds)
 cte("user_resamples", "user_numbers", draw_metrics(f"""(
   SELECT n.config, n.draw, p.y_prob, p.y_true
   FROM (SELECT *, unnest(range({N_BOOT})) AS draw FROM user_numbers) n
-  JOIN user_numbers u ON u.config = n.config AND u.idx = CAST(('0x' || substr(md5('42:' || n.draw || ':' || n.idx), 1, 8)) AS BIGINT) % n.size
+  JOIN user_numbers u ON u.config = n.config AND u.idx = CAST(('0x' || substr(md5('42:' || n.draw || ':' || n.idx), 1, 15)) AS BIGINT) % n.size
   JOIN preds p ON p.config = u.config AND p.user_key = u.user_key)"""))
 
 

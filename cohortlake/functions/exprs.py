@@ -198,6 +198,6 @@ def hash_order(seed: int | str, *keys: str | Column) -> Column:
 
 
 def hash_index(seed: int | str, size: Column, *keys: str | Column) -> Column:
-    """Seeded pseudo-random index in 0..size-1."""
-    head = F.substring(hash_order(seed, *keys), 1, 8)
+    """Seeded pseudo-random index in 0..size-1, from 60 bits: even for any size that rows can have."""
+    head = F.substring(hash_order(seed, *keys), 1, 15)
     return F.conv(head, 16, 10).cast("bigint") % size

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions import exprs as E
-from cohortlake.operators.ordering import exact_quantiles
+from cohortlake.operators.ordering import exact_quantiles, number_rows
 from cohortlake.sources import schemas as S
 from cohortlake.sources.tables import require_columns
 
@@ -22,7 +24,7 @@ def clean_minutes(raw: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "steps": F.when(F.col("steps") >= 0, F.col("steps")),
-                "hr": F.when(F.col("hr") > 0, F.col("hr")),
+                "hr": F.when((F.col("hr") > 0) & ~F.isnan("hr"), F.col("hr")),  # NaN compares as the largest number
                 "minutes_from_midnight": E.minute_of_day("time"),
             }
         )
@@ -201,26 +203,49 @@ def one_row_per_user(patient: DataFrame) -> DataFrame:
     return patient.groupBy(USER).agg(row).select("r.*")
 
 
-MAX_CATEGORIES = 200
+def category_values(df: DataFrame, column: str) -> list[str]:
+    """Sorted categories of a column that is to become one column per category.
 
+    A wide table must know its columns when it is planned, so this reads as many values as the result has columns.
+    Where that is too wide, declare the categories that matter, or use ``category_vectors``.
+    """
+    found = df.select(F.col(column).cast("string").alias("v")).filter(F.col("v").isNotNull()).distinct()
+    return sorted(r.v for r in found.toLocalIterator())
 
-def category_values(df: DataFrame, column: str) -> list[str]:
-    """Sorted categories of a low-cardinality column; an error beyond the limit, never a silent cut."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories and cannot be one-hot encoded")
-    return sorted(str(r[0]) for r in found)
 
+def category_vectors(patient: DataFrame, columns: Sequence[str] = tuple(S.PATIENT_CATEGORICAL)) -> tuple[DataFrame, DataFrame]:
+    """One-hot in sparse form for any number of categories: (user, indices) and the dimension (column, value, index).
 
-def patient_static(patient: DataFrame) -> DataFrame:
-    """Static block: numbers as they are, categories one-hot with an own column for NULL."""
+    Indices run from 0 over all columns in order of (column, value), the NULL category of a column last. Nothing is
+    collected and no column is made per value.
+    """
+    one = one_row_per_user(patient)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns if c in patient.columns])
+    long = one.select(USER, F.explode(pairs).alias("p")).select(USER, "p.*")
+    missing, named = F.col("value").isNull(), F.coalesce("value", F.lit(""))
+    values = long.select("column", "value", missing.alias("missing"), named.alias("named")).distinct()
+    # Ranks within bands of hashed order would lose the order of values; the band is the value's first characters.
+    band = F.concat(F.col("column"), F.lit(":"), F.col("missing").cast("int").cast("string"), F.lit(":"), F.substring("named", 1, 3))
+    ranked = number_rows(values, [], [band], [F.col("column"), F.col("missing"), F.col("named")], "rn")
+    dimension = ranked.select("column", "value", (F.col("rn") - 1).alias("index"))
+    hit = (F.col("l.column") == F.col("d.column")) & F.col("l.value").eqNullSafe(F.col("d.value"))
+    laid = long.alias("l").join(dimension.alias("d"), hit)
+    return laid.groupBy(f"l.{USER}").agg(F.sort_array(F.collect_list("index")).alias("indices")), dimension
+
+
+def patient_static(patient: DataFrame, categories: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Static block: numbers as they are, categories one-hot with an own column for NULL.
+
+    ``categories`` declares the values of a column; other columns' values are read from the table.
+    """
+    declared = categories or {}
     one = one_row_per_user(patient)
     numeric = [c for c in S.PATIENT_NUMERIC if c in patient.columns]
     flags = []
     for c in (c for c in S.PATIENT_CATEGORICAL if c in patient.columns):
         flags += [
             F.coalesce(F.col(c) == v, F.lit(False)).cast("int").alias(f"patient_{c}_{v}")
-            for v in category_values(patient, c)
+            for v in declared.get(c) or category_values(patient, c)
         ]
         flags.append(F.col(c).isNull().cast("int").alias(f"patient_{c}_nan"))
     return one.select(USER, *[E.numeric(c).alias(f"patient_{c}") for c in numeric], *flags)

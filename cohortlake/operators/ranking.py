@@ -48,7 +48,7 @@ def cumulative(preds: DataFrame, keys: Sequence[str], weight: str | None = None,
 def _auc_terms() -> tuple[Column, Column]:
     neg_at = F.col("n_at") - F.col("pos_at")
     pos_above = F.col("cum_pos") - F.col("pos_at")
-    roc = F.sum(neg_at * (pos_above + F.col("pos_at") / 2.0))
+    roc = F.sum(neg_at.cast("double") * (pos_above + F.col("pos_at") / 2.0))
     pr = F.sum(E.ratio("pos_at", "pos") * E.ratio("cum_pos", "cum_n"))
     return roc, pr
 
@@ -64,7 +64,7 @@ def auc(preds: DataFrame, keys: Sequence[str], weight: str | None = None) -> Dat
         .agg(roc.alias("_roc"), pr.alias("_pr"))
         .select(
             *keys, n, pos,
-            F.when(both, E.ratio(F.col("_roc"), pos * (n - pos))).alias("roc_auc"),
+            F.when(both, E.ratio(F.col("_roc"), pos.cast("double") * (n - pos))).alias("roc_auc"),
             F.when(pos > 0, F.col("_pr")).alias("pr_auc"),
         )
     )
@@ -115,11 +115,6 @@ def panel(preds: DataFrame, keys: Sequence[str], threshold: float | Column = 0.5
     )
 
 
-def guarded_auc(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """ROC-AUC only with both classes, average precision with any positive."""
-    return auc(preds, keys)
-
-
 def best_f1_threshold(preds: DataFrame, keys: Sequence[str], default: float = 0.5) -> DataFrame:
     """Threshold with the best F1 over observed scores and the default; the lowest wins a tie.
 

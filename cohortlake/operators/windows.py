@@ -176,34 +176,23 @@ def sliding_window_features(
     return out.join(_window_medians(minutes_a, window, stride), [USER, "anchor_relative_minute"], "left")
 
 
-CROWDED = 20_000
+def _window_medians(minutes_a: DataFrame, window: int, stride: int) -> DataFrame:
+    """Median heart rate per window, exact, by ranks over value counts.
 
-
-def _window_medians(minutes_a: DataFrame, window: int, stride: int, crowded: int = CROWDED) -> DataFrame:
-    """Median heart rate per window from value counts per bucket.
-
-    A window normally holds a few hundred distinct values and its median fits one aggregate. Windows over a
-    bucket with more than ``crowded`` distinct values are ranked across tasks instead; both ways are exact.
+    Readings are counted per bucket and value before anything is copied to windows, and ranks are taken over bands
+    of values, so neither many rows nor many distinct values of one window meet in one task.
     """
     at = F.floor((F.col(MINUTE) - F.col("first_minute")) / stride).alias("bucket")
-    spans = [USER, "first_minute", "last_minute"]
     counts = (
         minutes_a.filter(F.col("hr").isNotNull())
         .select(USER, MINUTE, "hr")
         .join(user_spans(minutes_a), USER)
-        .groupBy(*spans, at, "hr")
+        .groupBy(USER, "first_minute", "last_minute", at, "hr")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    full = counts.groupBy(*spans, "bucket").agg(F.count(F.lit(1)).alias("entries")).filter(F.col("entries") > crowded)
-    hot = _to_anchors(full, window, stride).select(USER, "k").distinct()
-    spread = _to_anchors(counts, window, stride)
     anchor = (F.col("first_minute") + window + F.col("k") * stride).alias("anchor_relative_minute")
-    usual = spread.join(hot, [USER, "k"], "left_anti").groupBy(USER, anchor).agg(
-        F.percentile("hr", 0.5, F.col("n")).alias("hr_median")
-    )
-    rest = spread.join(hot, [USER, "k"], "left_semi").select(USER, anchor, "hr", "n")
-    ranked = exact_quantiles(rest, [USER, "anchor_relative_minute"], "hr", {"hr_median": 0.5}, "n")
-    return usual.unionByName(ranked)
+    spread = _to_anchors(counts, window, stride).select(USER, anchor, "hr", "n")
+    return exact_quantiles(spread, [USER, "anchor_relative_minute"], "hr", {"hr_median": 0.5}, "n")
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = (USER, DATE)) -> list[str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -15,10 +14,10 @@ GRID_KEYS = ["threshold", "input_length_days", "washout_days"]
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; a local one only where none is set."""
+    """A fresh folder under the cluster's shared checkpoint folder; an error where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="run-")
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 

@@ -105,11 +105,28 @@ def test_window_block(frame):
     assert zero[2]["a_window_max"] == 0.0 and zero[1]["b_window_sum"] == 0.0 and zero[2]["src_days_observed"] == 0.0
 
 
-def test_crowded_windows_take_the_ranked_way(frame):
-    minutes = D.add_activity(D.clean_minutes(frame(minute_rows(4), RAW)))
-    usual = W._window_medians(minutes, 720, 240)
-    ranked = W._window_medians(minutes, 720, 240, crowded=30)
-    keys = ["user_key", "anchor_relative_minute"]
-    both = usual.join(ranked.withColumnRenamed("hr_median", "other"), keys, "full").collect()
-    assert len(both) == usual.count() > 5
-    assert all(abs(r["hr_median"] - r["other"]) < 1e-9 for r in both)
+def test_medians_of_crowded_windows_and_nan_readings(frame):
+    import statistics
+
+    rng = random.Random(5)
+    rows = [(1, m // 1440, f"{m % 1440 // 60:02d}:{m % 60:02d}:00", 1.0, 0.5, 1.0, float("nan") if m % 7 == 0 else rng.uniform(50, 150)) for m in range(3000) for _ in range(4)]
+    minutes = D.add_activity(D.clean_minutes(frame(rows, RAW)))
+    got = {r["anchor_relative_minute"]: r["hr_median"] for r in W._window_medians(minutes, 720, 240).collect()}
+    kept = [(r["relative_minute"], r["hr"]) for r in minutes.select("relative_minute", "hr").collect() if r["hr"] is not None]
+    assert len(got) > 5 and all(h == h for _, h in kept)
+    for anchor, median in got.items():
+        assert abs(statistics.median(h for m, h in kept if anchor - 720 <= m < anchor) - median) < 1e-9
+
+
+def test_any_number_of_categories(frame):
+    rows = [(u, f"v{u % 450:03d}" if u % 11 else None, "m" if u % 2 else None) for u in range(1000)]
+    patient = frame(rows, "user_key int, region string, sex string")
+    vectors, dimension = D.category_vectors(patient)
+    index = {(r["column"], r["value"]): r["index"] for r in dimension.collect()}
+    order = sorted(index, key=lambda k: (k[0], k[1] is None, k[1] or ""))
+    assert [index[k] for k in order] == list(range(len(order))) and len(order) == 453
+    got = {r["user_key"]: r["indices"] for r in vectors.collect()}
+    assert got == {u: sorted([index["region", v], index["sex", s]]) for u, v, s in rows}
+    wide = D.patient_static(patient, {"region": ["v001", "v002"]}).columns
+    assert [c for c in wide if c.startswith("patient_region")] == ["patient_region_v001", "patient_region_v002", "patient_region_nan"]
+

@@ -166,3 +166,19 @@ def test_diagnostics_without_columns(frame):
     out = select.diagnostics(frame([(1, 0.9, 0.5, 0.0)], "trial_id int, train_pr_auc double, val_pr_auc double, val_recall double")).first()
     assert out["train_val_pr_auc_gap"] == pytest.approx(0.4) and out["val_test_pr_auc_gap"] is None
     assert out["overfit_gap_flag"] and out["low_val_event_detection_flag"]
+
+
+def test_auc_of_more_rows_than_a_bigint_product_can_hold(frame):
+    df = frame([("a", 1, 0.9, 4_000_000_000), ("a", 0, 0.1, 4_000_000_000), ("a", 0, 0.95, 4_000_000_000)], "config string, y_true int, y_prob double, w bigint")
+    row = R.auc(df, ["config"], "w").first()
+    assert row["n"] == 12_000_000_000 and abs(row["roc_auc"] - 0.5) < 1e-12
+
+
+def test_draws_reach_beyond_32_bits(frame):
+    from pyspark.sql import functions as F
+
+    from cohortlake.functions import exprs as E
+
+    df = frame([(i,) for i in range(200)], "slot int").select(E.hash_index(1, F.lit(10**14), "slot").alias("i"))
+    found = [r["i"] for r in df.collect()]
+    assert max(found) > 2**33 and all(0 <= i < 10**14 for i in found)

@@ -85,6 +85,17 @@ def test_fallback_optional_and_manifest(spark, frame, tmp_path):
     assert out == {1: "train", 2: "train", 3: "val", 4: "test"}
 
 
+def test_no_scratch_without_the_cluster_setting():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        T.scratch_dir(Session())
+
+
 def test_scratch_follows_the_cluster_setting():
     class Conf:
         def get(self, key, default=None):
