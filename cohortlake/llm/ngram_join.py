@@ -26,7 +26,7 @@ THRESHOLD = 0.8
 TREES = 64
 DEPTH = 12  # values of a full label
 RECALL = 0.9999  # for a pair just at the threshold; higher for closer pairs
-UNIT = 400_000  # shingles of a block
+UNIT = 150_000  # shingles of a block
 
 
 def prefix_depth(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -69,7 +69,13 @@ def _candidates(classes: DataFrame) -> DataFrame:
     """(node, label): components of classes that share a trie node; classes without company are left out."""
     members = common.stage(classes.select("cid", F.explode("labels").alias("label")))
     nodes = members.groupBy("label").agg(F.min("cid").alias("u"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("label", "u")
-    return common.components(members.join(nodes, "label").select("u", F.col("cid").alias("v")).filter("u <> v").distinct())
+    links = members.join(nodes, "label").select("u", F.col("cid").alias("v")).filter("u <> v")
+    # A text's nodes may have several first members, one per tree at most. It is linked to the smallest of them, and
+    # the others are too, once for all texts they share: as connected, with hardly more links than texts.
+    firsts = common.stage(links.groupBy("v").agg(F.sort_array(F.collect_set("u")).alias("us")))
+    star = firsts.select(F.get("us", F.lit(0)).alias("u"), "v")
+    others = firsts.select(F.get("us", F.lit(0)).alias("u"), F.explode(F.slice("us", F.lit(2), F.size("us"))).alias("v")).distinct()
+    return common.components(star.union(others))
 
 
 def _tasks(members: DataFrame, threshold: float, unit: int) -> DataFrame:

@@ -1,13 +1,6 @@
 import pytest
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    """The shared folder of a cluster; a local one where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
-
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -23,22 +16,3 @@ def documents(spark):
         return df
 
     return make
-
-
-#: Nulls, empty and blank texts, repeated rows and ids, one very long text, odd characters.
-AWKWARD = [
-    (None, None),
-    (None, "a b c d e f g"),
-    (1, None),
-    (1, ""),
-    (2, "  \n\t "),
-    (3, "one"),
-    (4, "one two three four"),
-    (5, "same text in two rows of one id here\nand a second line"),
-    (5, "same text in two rows of one id here\nand a second line"),
-    (6, "same text in two rows of one id here\nand a second line"),
-    (7, "line\n" * 50),
-    (8, " ".join(f"w{i % 977}" for i in range(60_000))),
-    (9, "é ß   x\x1cy <|endoftext|> \U0001f600 \x00 z"),
-    (9, "another text under the same id"),
-]

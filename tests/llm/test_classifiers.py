@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cohortlake.llm import quality_fm, sparse, toxicity_pu
-from llm.conftest import AWKWARD
+from text_cases import AWKWARD
 
 DATA = "/root/testdata/sf0.01"
 LABELS = "doc_id bigint, quality int, toxic int, label int"

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(
 
 import corpus_pipeline  # noqa: E402
 from cohortlake.llm import queries  # noqa: E402
-from llm.test_texts import brute_chunks, brute_join, brute_leaks, brute_pieces, words  # noqa: E402
+from test_texts import brute_chunks, brute_join, brute_leaks, brute_pieces, words  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables absent")
@@ -49,7 +49,7 @@ def test_pipeline_stages_equal_plain_python(spark):
 
 
 def test_pipeline_takes_awkward_rows(spark, documents, tmp_path):
-    from llm.conftest import AWKWARD
+    from text_cases import AWKWARD
 
     for name, rows in (("some", AWKWARD), ("none", [])):
         documents(rows, True).write.parquet(str(tmp_path / name / "documents.parquet"))

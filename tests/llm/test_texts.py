@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.llm import common, decontaminate, line_chunks, ngram_join, packing, rendezvous, robust_rules, seed_extend
-from llm.conftest import AWKWARD
+from text_cases import AWKWARD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -124,7 +124,7 @@ def brute_chunks(rows, average=4):
 
 def test_line_chunks(documents):
     rng = random.Random(4)
-    passage = [f"passage line {k}" for k in range(12)]
+    passage = [f"passage line {k}" for k in range(40)]
     rows = list(AWKWARD)
     for i in range(20, 60):
         own = [f"own {i} {k}" for k in range(rng.randrange(6))]
