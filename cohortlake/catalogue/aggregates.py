@@ -138,11 +138,13 @@ def _(spark, d):
 
 @query(
     "agg_31_score_histogram",
-    "SELECT weekly_wheeze AS score, count(*) AS n FROM weekly GROUP BY weekly_wheeze",
+    " UNION ALL ".join(f"SELECT '{c}' AS symptom, CAST({c} AS INTEGER) AS score, count(*) AS n FROM weekly GROUP BY ALL" for c in S.SYMPTOM_COLUMNS),
     "weekly",
 )
 def _(spark, d):
-    return V.weekly(spark, d).groupBy(F.col("weekly_wheeze").alias("score")).agg(F.count("*").alias("n"))
+    scores = [F.col(c).cast("int").alias(c) for c in S.SYMPTOM_COLUMNS]
+    long = V.weekly(spark, d).select(*scores).unpivot([], S.SYMPTOM_COLUMNS, "symptom", "score")
+    return long.groupBy("symptom", "score").agg(F.count("*").alias("n"))
 
 
 # --- summaries of trial tables --------------------------------------------------------------------

@@ -297,15 +297,17 @@ def _(spark, d):
 
 @query(
     "set_06_days_in_event_set",
-    """SELECT user_key, date, EXISTS (SELECT 1 FROM probable p WHERE p.threshold = 2 AND p.user_key = s.user_key
-         AND p.event_day = s.date) AS is_event_day FROM daily_scores s""",
+    """SELECT t.threshold, s.user_key, s.date, EXISTS (SELECT 1 FROM probable p WHERE p.threshold = t.threshold AND p.user_key = s.user_key
+         AND p.event_day = s.date) AS is_event_day FROM daily_scores s, (SELECT DISTINCT threshold FROM probable) t""",
     "daily_scores probable",
 )
 def _(spark, d):
-    marked = probable_days(spark, d).filter("threshold = 2").select("user_key", F.col("event_day").alias("date"), F.lit(True).alias("hit"))
-    scores = L.daily_scores(V.daily(spark, d)).select("user_key", "date")
-    return scores.join(marked, ["user_key", "date"], "left").select(
-        "user_key", "date", F.coalesce("hit", F.lit(False)).alias("is_event_day")
+    days = probable_days(spark, d)
+    marked = days.select("threshold", "user_key", F.col("event_day").alias("date"), F.lit(True).alias("hit")).distinct()
+    thresholds = F.explode(F.array(*[F.lit(t).cast(days.schema["threshold"].dataType) for t in T]))
+    scores = L.daily_scores(V.daily(spark, d)).select("user_key", "date", thresholds.alias("threshold"))
+    return scores.join(marked, ["threshold", "user_key", "date"], "left").select(
+        "threshold", "user_key", "date", F.coalesce("hit", F.lit(False)).alias("is_event_day")
     )
 
 

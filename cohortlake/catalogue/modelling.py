@@ -1,4 +1,8 @@
-"""Model jobs over the labelled vectors; fitted numbers have no SQL twin, so these are checked by rows and by tests."""
+"""Model jobs over the labelled vectors.
+
+Fitted numbers have no SQL twin. Queries with a twin return what the data determine (ids, labels, sizes) and whether
+the fitted part is what a right fit gives; the numbers themselves are for the library's callers and the unit tests.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from cohortlake.sources.tables import materialize
 
 DIMS = 64
 X = [f"x{i}" for i in range(DIMS)]
-LR, RF, GBT = {"C": 1.0}, {"n_estimators": 20, "max_depth": 4}, {"n_estimators": 5, "max_depth": 3}
+LR, RF, GBT = {"C": 1.0}, {"n_estimators": 200, "max_depth": 5}, {"n_estimators": 20, "max_depth": 3}
 
 
 def table(spark, d):
@@ -27,27 +31,36 @@ def fitted_scores(spark, d, algo, params):
     return M.score(model, data.filter("user_key >= 9"), ["sample_id", "user_key"])
 
 
-@query("mod_01_logistic_regression")
+def scored_rows(scores, value="y_prob"):
+    """The rows of a score table, with their scores replaced by whether they are probabilities."""
+    good = F.col(value).isNotNull() & F.col(value).between(0, 1)
+    return scores.withColumn("in_range", good).drop("y_prob", "y_cal")
+
+
+SCORED = "SELECT sample_id, user_key, CAST(target AS INTEGER) AS y_true, true AS in_range FROM vectors WHERE user_key >= 9"
+
+
+@query("mod_01_logistic_regression", SCORED, "vectors")
 def _(spark, d):
-    return rounded(fitted_scores(spark, d, "lr", LR | {"class_weight": "balanced"}))
+    return scored_rows(fitted_scores(spark, d, "lr", LR | {"class_weight": "balanced"}))
 
 
-@query("mod_02_random_forest")
+@query("mod_02_random_forest", SCORED, "vectors")
 def _(spark, d):
-    return rounded(fitted_scores(spark, d, "rf", RF | {"class_weight": "balanced"}))
+    return scored_rows(fitted_scores(spark, d, "rf", RF | {"class_weight": "balanced"}))
 
 
-@query("mod_03_boosted_trees")
+@query("mod_03_boosted_trees", SCORED, "vectors")
 def _(spark, d):
-    return rounded(fitted_scores(spark, d, "gbt", GBT))
+    return scored_rows(fitted_scores(spark, d, "gbt", GBT))
 
 
-@query("mod_05_platt_calibration")
+@query("mod_05_platt_calibration", SCORED.replace("user_key, ", ""), "vectors")
 def _(spark, d):
     data = materialize(table(spark, d))
     model = M.fit(data.filter("user_key < 6"), X, "rf", RF)
     val = M.score(model, data.filter("user_key between 6 and 8"), ["sample_id"])
-    return rounded(M.platt(val, M.score(model, data.filter("user_key >= 9"), ["sample_id"])))
+    return scored_rows(M.platt(val, M.score(model, data.filter("user_key >= 9"), ["sample_id"])), "y_cal")
 
 
 @query("mod_07_stacking")
@@ -70,6 +83,19 @@ def _(spark, d):
     return rounded(M.sweep(cells, splits.three_way_split(t), X, ["threshold"], trials))
 
 
+@query("mod_09_tuned_headline")
+def _(spark, d):
+    from cohortlake.plans import reports
+
+    # Tune, select, refit and report on one table: two grid cells as above.
+    t = table(spark, d)
+    cells = t.withColumn("threshold", F.lit(2)).unionByName(t.filter("sample_id % 2 = 0").withColumn("threshold", F.lit(3)))
+    cells = cells.withColumns({"input_length_days": F.lit(7), "washout_days": F.lit(0)})
+    trials = M.param_grid({"lr": {"C": [0.1, 1.0]}, "rf": {"n_estimators": [20], "max_depth": [3]}})
+    _, final = M.tune_and_test(cells, splits.three_way_split(t), X, ["threshold", "input_length_days", "washout_days"], trials)
+    return rounded(reports.headline(final))
+
+
 @query("mod_10_train_test_table")
 def _(spark, d):
     return rounded(M.train_test_table(table(spark, d), X, [("lr", LR), ("rf", RF)]))
@@ -91,17 +117,23 @@ def _(spark, d):
 @query("mod_13_leakage_probe")
 def _(spark, d):
     t = table(spark, d)
-    probe = M.leakage_probe(t, splits.three_way_split(t), X, "lr", LR, shuffles=3)
+    probe = M.leakage_probe(t, splits.three_way_split(t), X, "lr", LR, shuffles=5)
     overall = probe.agg(F.avg("roc_auc").alias("val_roc_auc_mean"), F.count("*").alias("n_shuffles"))
     return rounded(M.probe_gate(overall))
 
 
-@query("mod_14_leave_one_user_out")
+@query(
+    "mod_14_leave_one_user_out",
+    """SELECT 'lr' AS config, count(*) AS pooled_n, CAST(sum(target) AS BIGINT) AS pooled_n_pos, count(DISTINCT user_key) AS n_folds_total,
+         count(DISTINCT user_key) FILTER (target = 1) AS n_folds_with_pos, true AS in_range FROM vectors""",
+    "vectors",
+)
 def _(spark, d):
     from cohortlake.operators import ranking
 
     oof = M.lopo(table(spark, d), X, "lr", LR | {"max_iter": 20}).withColumn("config", F.lit("lr"))
-    return rounded(ranking.pooled(oof))
+    sizes = ["config", "pooled_n", "pooled_n_pos", "n_folds_total", "n_folds_with_pos"]
+    return ranking.pooled(oof).select(*sizes, F.col("pooled_roc_auc").between(0, 1).alias("in_range"))
 
 
 @query("mod_15_subset_panel")
@@ -112,4 +144,4 @@ def _(spark, d):
 
 @query("mod_16_grouped_cv")
 def _(spark, d):
-    return rounded(M.grouped_cv(table(spark, d), X, [("lr", LR)], n_splits=3))
+    return rounded(M.grouped_cv(table(spark, d), X, [("lr", LR)], n_splits=5))

@@ -12,6 +12,7 @@ from cohortlake.functions import exprs as E
 from cohortlake.operators import daily as D, profile, select, splits
 from cohortlake.plans import features as X, labels as L
 from cohortlake.sources import schemas as S, standin as V
+from cohortlake.sources.schemas import POLLEN_COLUMNS
 from cohortlake.sources.tables import require_columns
 
 
@@ -225,12 +226,12 @@ def _(spark, d):
 
 @query(
     "prj_21_xy_groups",
-    """SELECT sample_id, embedding[1] AS x0, embedding[2] AS x1, target AS y, user_key AS grp FROM vectors""",
+    f"""SELECT sample_id, {', '.join(f'embedding[{i + 1}] AS x{i}' for i in range(64))}, target AS y, user_key AS grp FROM vectors""",
     "vectors",
 )
 def _(spark, d):
     return V.vectors(spark, d).select(
-        "sample_id", F.col("embedding")[0].alias("x0"), F.col("embedding")[1].alias("x1"),
+        "sample_id", *[F.col("embedding")[i].alias(f"x{i}") for i in range(64)],
         F.col("target").alias("y"), F.col("user_key").alias("grp"),
     )
 
@@ -262,13 +263,13 @@ def _(spark, d):
 
 @query(
     "str_03_pollen_level",
-    """SELECT grass_pollen, CAST(CASE lower(grass_pollen) WHEN 'low' THEN 1 WHEN 'moderate' THEN 2 WHEN 'high' THEN 3
-         WHEN 'very high' THEN 4 END AS INTEGER) AS level, count(*) AS n FROM environment GROUP BY ALL""",
+    " UNION ALL ".join(f"""SELECT '{c}' AS pollen, {c} AS name, CAST(CASE lower({c}) WHEN 'low' THEN 1 WHEN 'moderate' THEN 2 WHEN 'high' THEN 3
+         WHEN 'very high' THEN 4 END AS INTEGER) AS level, count(*) AS n FROM environment GROUP BY ALL""" for c in POLLEN_COLUMNS),
     "environment",
 )
 def _(spark, d):
-    env = V.environment(spark, d)
-    return env.groupBy("grass_pollen", E.pollen_level("grass_pollen").alias("level")).agg(F.count("*").alias("n"))
+    env = V.environment(spark, d).select(*POLLEN_COLUMNS).unpivot([], POLLEN_COLUMNS, "pollen", "name")
+    return env.groupBy("pollen", "name", E.pollen_level("name").alias("level")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -458,12 +459,12 @@ def _(spark, d):
 
 @query(
     "srt_02_metric_sort",
-    "SELECT trial_id, val_pr_auc, val_brier FROM trials ORDER BY val_pr_auc DESC NULLS LAST, val_brier, trial_id LIMIT 50",
+    "SELECT trial_id, val_pr_auc, val_brier FROM trials ORDER BY val_pr_auc DESC NULLS LAST, val_brier, trial_id",
     "trials",
 )
 def _(spark, d):
     t = V.trials(spark, d).select("trial_id", "val_pr_auc", "val_brier")
-    return t.orderBy(F.desc_nulls_last("val_pr_auc"), F.asc_nulls_last("val_brier"), "trial_id").limit(50)
+    return t.orderBy(F.desc_nulls_last("val_pr_auc"), F.asc_nulls_last("val_brier"), "trial_id")
 
 
 @query(

@@ -46,7 +46,7 @@ SELECT user_key FROM (SELECT *, min(pick) OVER () AS best FROM (
     SELECT user_key, trial, abs(sum(pos) OVER (PARTITION BY trial) / CAST(sum(n) OVER (PARTITION BY trial) AS DOUBLE)
            - (SELECT sum(pos) / CAST(sum(n) AS DOUBLE) FROM user_pos)) AS gap
     FROM (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY md5('42:{part}:' || trial || ':' || user_key), user_key) AS rn
-          FROM {src}, (SELECT unnest(range(16)) AS trial))
+          FROM {src}, (SELECT unnest(range(64)) AS trial))
     WHERE rn <= {k})))
 WHERE pick = best
 """
@@ -64,7 +64,7 @@ cte("strat_val", "strat_rest", TRIAL.format(part="inner", src="strat_rest", k="g
 def _(spark, d):
     from cohortlake.catalogue.labelling import labelled
 
-    return splits.stratified_split(labelled(spark, d), "target_binary", n_trials=16)
+    return splits.stratified_split(labelled(spark, d), "target_binary", n_trials=64)
 
 
 @query(
@@ -153,7 +153,7 @@ def _(spark, d):
     return rounded(prep.standardize(feature_split(spark, d), FEATS, F.col("split") == "train"))
 
 
-DIMS = range(8)
+DIMS = range(64)
 
 
 @query(

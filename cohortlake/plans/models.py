@@ -1,8 +1,13 @@
-"""Model jobs on MLlib. Fits run in driver loops over small grids; every fit and every score is distributed."""
+"""Model jobs on MLlib. Every fit and every score is distributed.
+
+A job over many fits appends each fit's scores to one table and computes all metrics from that table at the end, so
+its plans stay as small as one fit's. Given a folder, a job that was stopped goes on with the fits that are missing.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import hashlib
+from collections.abc import Sequence
 from functools import reduce
 from itertools import product
 
@@ -14,17 +19,46 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlake.functions import exprs as E
 from cohortlake.operators import ranking, resample, splits
-from cohortlake.operators.select import diagnostics
-from cohortlake.sources.tables import materialize
+from cohortlake.operators.select import best_trials, diagnostics
+from cohortlake.sources.tables import materialize, path_exists, scratch_dir
 
 USER, TARGET = "user_key", "target"
 ALGOS = ["lr", "rf", "gbt"]
 
 
-def class_counts(df: DataFrame, target: str = TARGET) -> tuple[int, int]:
-    """(positives, negatives): two numbers on the driver."""
-    row = df.agg(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).first()
-    return int(row[0]), int(row[1])
+class CannotFit(ValueError):
+    """The training rows have one class only or no usable feature."""
+
+
+class ScoreTable:
+    """Scores of many fits in one table on shared storage, one folder per fit."""
+
+    def __init__(self, spark, path: str | None = None):
+        self.spark, self.path, self.any = spark, path or f"{scratch_dir(spark)}/scores", False
+
+    def _folder(self, labels: dict) -> str:
+        name = hashlib.sha256(repr(sorted(labels.items())).encode()).hexdigest()[:24]
+        return f"{self.path}/fit={name}"
+
+    def has(self, **labels) -> bool:
+        """Whether this fit's scores were written whole."""
+        done = path_exists(self.spark, f"{self._folder(labels)}/_SUCCESS")
+        self.any |= done
+        return done
+
+    def add(self, scored: DataFrame, **labels) -> None:
+        _tag(scored, **labels).write.mode("overwrite").parquet(self._folder(labels))
+        self.any = True
+
+    def read(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/fit=*").drop("fit")
+
+
+def tree_depth(depth: int | None) -> int:
+    """MLlib grows trees to 30 levels at most; no limit asked for means these 30, a deeper one is an error."""
+    if depth is not None and depth > 30:
+        raise ValueError(f"trees of depth {depth} are asked for; 30 is the most that can be grown")
+    return 30 if depth is None else depth
 
 
 def training_facts(train: DataFrame, cols: Sequence[str]) -> tuple[int, int, list[str]]:
@@ -43,7 +77,7 @@ def estimator(algo: str, params: dict, n_rows: int, weighted: bool, seed: int):
         )
     if algo == "rf":
         return RandomForestClassifier(
-            numTrees=params.get("n_estimators", 300), maxDepth=min(params.get("max_depth") or 30, 30),
+            numTrees=params.get("n_estimators", 300), maxDepth=tree_depth(params.get("max_depth")),
             minInstancesPerNode=params.get("min_samples_leaf", 1), seed=seed, **common,
         )
     if algo == "gbt":
@@ -59,12 +93,14 @@ def fit(train: DataFrame, features: Sequence[str], algo: str, params: dict | Non
     """Median imputation, assembly, scaling for the linear model, then the classifier."""
     params = params or {}
     n_pos, n_neg, cols = training_facts(train, features)
+    if not (n_pos and n_neg and cols):
+        raise CannotFit(f"{n_pos} positives, {n_neg} negatives and {len(cols)} usable features")
     weight = _weights(algo, params, n_pos, n_neg)
     data = train.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(TARGET).cast("double").alias(TARGET))
     if weight is not None:
         data = data.withColumn("_w", weight)
     filled = [f"{c}_f" for c in cols]
-    stages = [Imputer(strategy="median", inputCols=cols, outputCols=filled)]
+    stages = [Imputer(strategy="median", relativeError=0.0, inputCols=cols, outputCols=filled)]  # exact
     if algo == "lr":
         stages += [
             VectorAssembler(inputCols=filled, outputCol="raw"),
@@ -139,25 +175,32 @@ def importances(model: PipelineModel, spark, top: int = 15) -> DataFrame:
     return table.orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def _union(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def _tag(df: DataFrame, **labels) -> DataFrame:
     return df.select(*[F.lit(v).alias(k) for k, v in labels.items()], "*")
 
 
-def _wide_metrics(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per config with ``<split>_<metric>`` columns. Scores are written once, as several metrics read them."""
-    preds = materialize(preds)
-    rows = ranking.panel(preds, [*keys, "split"])
-    cuts = ranking.recall_at_precision(preds, [*keys, "split"]).drop("score_cut")
-    rows = rows.join(cuts, [*keys, "split"], "left")
-    metrics = ["n", "pos", *ranking.PANEL, "recall_at_precision_floor"]
-    names = ["train", "val", "test"]
-    return rows.groupBy(*keys).agg(
+SPLITS = ["train", "val", "test"]
+
+
+def _wide_metrics(preds: DataFrame, keys: Sequence[str], names: Sequence[str] = SPLITS) -> DataFrame:
+    """One row per config: ``<split>_<metric>``, both floors, and the panel at the threshold tuned on validation.
+
+    The tuned columns are ``tuned_threshold`` and ``<split>_tuned_<metric>``; without validation rows they are NULL.
+    """
+    keys = list(keys)
+    by_split = [*keys, "split"]
+    rows = ranking.panel(preds, by_split)
+    rows = rows.join(ranking.recall_at_precision(preds, by_split).drop("score_cut"), by_split, "left")
+    rows = rows.join(ranking.precision_at_recall(preds, by_split).drop("score_cut"), by_split, "left")
+    cuts = ranking.best_f1_threshold(preds.filter("split = 'val'"), keys).select(*keys, F.col("score_cut").alias("tuned_threshold"))
+    tuned = ranking.confusion(preds.join(cuts, keys), by_split, F.col("tuned_threshold"))
+    rates = ["f1", "precision", "recall", "accuracy"]
+    rows = rows.join(tuned.select(*by_split, *[F.col(c).alias(f"tuned_{c}") for c in rates]), by_split, "left")
+    metrics = ["n", "pos", *ranking.PANEL, "recall_at_precision_floor", "precision_at_recall_floor", *[f"tuned_{c}" for c in rates]]
+    wide = rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("split") == s, F.col(m))).alias(f"{s}_{m}") for s in names for m in metrics]
     )
+    return wide.join(cuts, keys, "left")
 
 
 def param_grid(options: dict[str, dict[str, list]]) -> list[tuple[str, dict]]:
@@ -171,9 +214,6 @@ def params_text(params: dict) -> str:
     return ";".join(f"{k}={params[k]}" for k in sorted(params))
 
 
-MAX_CELLS = 1000
-
-
 def sweep(
     table: DataFrame,
     split: DataFrame,
@@ -181,94 +221,120 @@ def sweep(
     cell_keys: Sequence[str],
     trials: Sequence[tuple[str, dict]],
     seed: int = 42,
+    path: str | None = None,
 ) -> DataFrame:
-    """Trial table over grid cells and parameters. Cells with one training class or no validation positive are
-    skipped; a failed fit keeps its row with NULL metrics. All predictions are scored in one metrics job.
+    """Trial table over grid cells and parameters, as ``select.best_trials`` reads it. Test rows are never scored.
+
+    Cells with one training class or no validation positive are skipped. A trial that cannot be fitted, because its
+    features are all empty, keeps its row with NULL metrics; any other failure is raised. ``trial_id`` numbers the
+    trials in order of cells and parameters. With ``path`` a stopped sweep goes on where it was.
     """
-    data = materialize(splits.apply_split(table, split))
+    spark = table.sparkSession
+    data = materialize(splits.apply_split(table, split).filter("split <> 'test'"))
+    train = F.col("split") == "train"
     counts = data.groupBy(*cell_keys).agg(
-        F.count_if((F.col("split") == "train") & (F.col(TARGET) == 1)).alias("tp"),
-        F.count_if((F.col("split") == "train") & (F.col(TARGET) == 0)).alias("tn"),
+        F.count_if(train & (F.col(TARGET) == 1)).alias("tp"),
+        F.count_if(train & (F.col(TARGET) == 0)).alias("tn"),
         F.count_if((F.col("split") == "val") & (F.col(TARGET) == 1)).alias("vp"),
     )
-    usable = counts.filter("tp > 0 and tn > 0 and vp > 0").orderBy(*cell_keys).limit(MAX_CELLS + 1).collect()
-    if len(usable) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} grid cells: a sweep fits every model once per cell")
-    scored, tried = [], []
-    for cell in usable:
-        here = [F.col(k) == cell[k] for k in cell_keys]
-        part = data.filter(reduce(lambda a, b: a & b, here))
+    usable = materialize(counts.filter("tp > 0 and tn > 0 and vp > 0"))
+    table_of, tried = ScoreTable(spark, path), []
+    keys = [*cell_keys, "algo", "params"]
+    for cell in usable.orderBy(*cell_keys).toLocalIterator():
+        part = data.filter(reduce(lambda a, b: a & b, [F.col(k) == cell[k] for k in cell_keys]))
         for algo, params in trials:
             labels = {k: cell[k] for k in cell_keys} | {"algo": algo, "params": params_text(params)}
-            tried.append(labels)
+            tried.append((len(tried), *[labels[k] for k in keys]))
+            if table_of.has(**labels):
+                continue
             try:
-                model = fit(part.filter(F.col("split") == "train"), features, algo, params, seed)
-            except Exception as exc:  # a trial that cannot be fitted is a result, not a crash
-                print(f"trial failed: {labels}: {exc}")
+                model = fit(part.filter(train), features, algo, params, seed)
+            except CannotFit:
                 continue
-            scored.append(_tag(score(model, part, [USER, "split"]), **labels))
-    keys = [*cell_keys, "algo", "params"]
+            scored = score(model, part, [USER, "split"]).withColumn("n_features", F.lit(len(model.feature_names)))
+            table_of.add(scored, **labels)
     if not tried:
         raise ValueError("no grid cell has both training classes and a validation positive")
     kinds = dict(table.dtypes)
-    schema = ", ".join(f"{k} {kinds.get(k, 'string')}" for k in keys)
-    spine = table.sparkSession.createDataFrame([tuple(t[k] for k in keys) for t in tried], schema)
-    if not scored:
+    schema = ", ".join(["trial_id bigint", *[f"{k} {kinds.get(k, 'string')}" for k in keys]])
+    spine = spark.createDataFrame(tried, schema)
+    if not table_of.any:
         return spine
-    return diagnostics(spine.join(_wide_metrics(_union(scored), keys), keys, "left"))
+    preds = table_of.read()
+    width = preds.groupBy(*keys).agg(F.first("n_features").alias("n_features"))
+    metrics = _wide_metrics(preds, keys, SPLITS[:2]).join(width, keys)
+    return diagnostics(spine.join(metrics, keys, "left"))
 
 
 def train_test_table(table: DataFrame, features: Sequence[str], models: Sequence[tuple[str, dict]], seed: int = 42) -> DataFrame:
     """Metrics and sizes of several models under one user-disjoint train/test split."""
     data = materialize(splits.apply_split(table, splits.two_way_split(table, seed)))
-    scored = []
+    scores = ScoreTable(table.sparkSession)
     for algo, params in models:
         model = fit(data.filter(F.col("split") == "train"), features, algo, params, seed)
-        scored.append(_tag(score(model, data, [USER, "split"]), algo=algo))
-    return _wide_metrics(_union(scored), ["algo"])
+        scores.add(score(model, data, [USER, "split"]), algo=algo)
+    return _wide_metrics(scores.read(), ["algo"], ["train", "test"])
 
 
 def refit_and_test(table: DataFrame, split: DataFrame, features: Sequence[str], winners: Sequence[tuple[str, dict]], seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Final test of chosen models: fit on train+val and score test; the threshold comes from a train-only fit."""
+    """Final test of chosen models, and its test scores.
+
+    Test columns are those of a fit on train and validation rows. Train and validation columns, both floors and the
+    tuned threshold are those of a fit on training rows alone, as in tuning; gaps and flags come from both.
+    """
+    spark = table.sparkSession
     data = materialize(splits.apply_split(table, split))
-    final, tuning = [], []
+    scores = ScoreTable(spark)
     for algo, params in winners:
-        model = fit(data.filter(F.col("split") != "test"), features, algo, params, seed)
-        final.append(_tag(score(model, data.filter(F.col("split") == "test"), [USER, "sample_id"]), algo=algo))
+        final = fit(data.filter(F.col("split") != "test"), features, algo, params, seed)
+        scores.add(score(final, data.filter(F.col("split") == "test"), [USER, "sample_id", "split"]), algo=algo, part="final")
         first = fit(data.filter(F.col("split") == "train"), features, algo, params, seed)
-        tuning.append(_tag(score(first, data.filter(F.col("split") == "val"), [USER]), algo=algo))
-    preds = materialize(_union(final))
-    cuts = ranking.best_f1_threshold(_union(tuning), ["algo"])
-    tuned = ranking.confusion(preds.join(cuts.select("algo", "score_cut"), "algo"), ["algo"], F.col("score_cut"))
-    cols = ["f1", "precision", "recall", "accuracy"]
-    result = (
-        ranking.panel(preds, ["algo"])
-        .join(cuts.select("algo", F.col("score_cut").alias("tuned_threshold")), "algo")
-        .join(tuned.select("algo", *[F.col(c).alias(f"test_tuned_{c}") for c in cols]), "algo")
-    )
-    return result, preds
+        scores.add(score(first, data.filter(F.col("split") != "test"), [USER, "sample_id", "split"]), algo=algo, part="tuning")
+    preds = scores.read()
+    # Each split's rows come from one fit alone, so the wide metrics read both parts at once.
+    result = diagnostics(_wide_metrics(preds.drop("part"), ["algo"]))
+    return result, preds.filter("part = 'final'").drop("part", "split")
+
+
+def tune_and_test(
+    table: DataFrame, split: DataFrame, features: Sequence[str], cell_keys: Sequence[str], trials: Sequence[tuple[str, dict]], seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """From a sweep to the rows of a headline: trials, and the final row of each algorithm's best trial."""
+    spark = table.sparkSession
+    swept = materialize(sweep(table, split, features, cell_keys, trials, seed))
+    best = best_trials(swept.filter("val_pr_auc is not null"), ["algo"])
+    by_text = {(algo, params_text(params)): params for algo, params in trials}
+    parts = []
+    for win in best.orderBy("algo").collect():  # one row per algorithm of the caller's list
+        cell = reduce(lambda a, b: a & b, [F.col(k) == win[k] for k in cell_keys])
+        row, _ = refit_and_test(table.filter(cell), split, features, [(win["algo"], by_text[win["algo"], win["params"]])], seed)
+        labels = {k: win[k] for k in [*cell_keys, "trial_id", "n_features"]}
+        parts.append(materialize(row.select("*", *[F.lit(v).alias(k) for k, v in labels.items()])))
+    if not parts:
+        return swept, spark.createDataFrame([], swept.schema)
+    return swept, reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def ablation(table: DataFrame, split: DataFrame, subsets: dict[str, Sequence[str]], algo: str, params: dict, seed: int = 42) -> DataFrame:
     """Same model and parameters on several column subsets of one wide table."""
     data = materialize(splits.apply_split(table, split))
-    scored = []
+    scores = ScoreTable(table.sparkSession)
     for name, cols in subsets.items():
         model = fit(data.filter(F.col("split") == "train"), cols, algo, params, seed)
-        scored.append(_tag(score(model, data, [USER, "split"]), subset=name, n_features=len(model.feature_names)))
-    return _wide_metrics(_union(scored), ["subset", "n_features"])
+        scores.add(score(model, data, [USER, "split"]), subset=name, n_features=len(model.feature_names))
+    return _wide_metrics(scores.read(), ["subset", "n_features"])
 
 
 def leakage_probe(table: DataFrame, split: DataFrame, features: Sequence[str], algo: str, params: dict, shuffles: int = 5, seed: int = 42) -> DataFrame:
     """Validation metrics after shuffling the labels inside each split; should hover around chance."""
     data = materialize(splits.apply_split(table, split))
-    scored = []
+    scores = ScoreTable(table.sparkSession)
     for i in range(shuffles):
         mixed = resample.shuffle_labels(data, ["split"], "sample_id", TARGET, seed + i)
         mixed = materialize(mixed.withColumn(TARGET, F.col(f"{TARGET}_shuffled")))
         model = fit(mixed.filter(F.col("split") == "train"), features, algo, params, seed)
-        scored.append(_tag(score(model, mixed.filter(F.col("split") == "val"), [USER]), shuffle=i))
-    return ranking.panel(materialize(_union(scored)), ["shuffle"])
+        scores.add(score(model, mixed.filter(F.col("split") == "val"), [USER]), shuffle=i)
+    return ranking.panel(scores.read(), ["shuffle"])
 
 
 def probe_gate(summary: DataFrame, value: str = "val_roc_auc_mean", tolerance: float = 0.05) -> DataFrame:
@@ -276,28 +342,30 @@ def probe_gate(summary: DataFrame, value: str = "val_roc_auc_mean", tolerance: f
     return summary.withColumn("gate_passed", F.abs(F.col(value) - 0.5) <= tolerance)
 
 
-MAX_FOLDS = 1000
-
-
-def lopo(table: DataFrame, features: Sequence[str], algo: str, params: dict, seed: int = 42, user: str = USER) -> DataFrame:
+def lopo(
+    table: DataFrame, features: Sequence[str], algo: str, params: dict, seed: int = 42, user: str = USER, path: str | None = None
+) -> DataFrame:
     """Out-of-fold predictions, one fit per held-out user. One-class training folds give NULL scores.
 
-    One fit per user only makes sense for a small cohort, so more than ``MAX_FOLDS`` users is an error.
+    Users are walked one by one, however many there are, and each fold's scores are appended to a table. Class
+    counts of all folds come from one grouping, by subtraction. With ``path`` a stopped run goes on where it was.
     """
     data = materialize(table)
-    users = data.select(user).distinct().orderBy(user).limit(MAX_FOLDS + 1).collect()
-    if len(users) > MAX_FOLDS:
-        raise ValueError(f"more than {MAX_FOLDS} users: use grouped folds instead of leaving one user out")
-    parts = []
-    for (held,) in users:
+    target = F.col(TARGET)
+    counts = materialize(data.groupBy(user).agg(F.count_if(target == 1).alias("pos"), F.count_if(target == 0).alias("neg")))
+    total = counts.agg(F.sum("pos"), F.sum("neg")).first()
+    scores = ScoreTable(table.sparkSession, path)
+    for held, pos, neg in counts.orderBy(user).toLocalIterator():
+        if scores.has(held=str(held)):
+            continue
         train, test = data.filter(F.col(user) != held), data.filter(F.col(user) == held)
-        pos, neg = class_counts(train)
-        if pos == 0 or neg == 0:
+        if total[0] == pos or total[1] == neg:
             blank = F.lit(None).cast("double").alias("y_prob")
-            parts.append(test.select(user, "sample_id", F.col(TARGET).cast("int").alias("y_true"), blank))
+            scored = test.select(user, "sample_id", target.cast("int").alias("y_true"), blank)
         else:
-            parts.append(score(fit(train, features, algo, params, seed), test, [user, "sample_id"]))
-    return materialize(_union(parts))
+            scored = score(fit(train, features, algo, params, seed), test, [user, "sample_id"])
+        scores.add(scored, held=str(held))
+    return scores.read().drop("held")
 
 
 def permuted_null(oof: DataFrame, n_perm: int, ident: str = "sample_id", user: str = USER, seed: int = 0) -> DataFrame:
@@ -310,30 +378,31 @@ def permuted_lopo(table: DataFrame, features: Sequence[str], algo: str, params:
     """Pooled metrics of full leave-one-user-out runs on permuted label blocks."""
     mixed = materialize(resample.permute_user_blocks(table, USER, "sample_id", TARGET, seed, n_perm))
     mixed = mixed.withColumn(TARGET, F.col(f"{TARGET}_perm"))
-    parts = [_tag(lopo(mixed.filter(F.col("perm") == i), features, algo, params), perm=i) for i in range(n_perm)]
-    return ranking.auc(_union(parts), ["perm"])
+    scores = ScoreTable(table.sparkSession)
+    for i in range(n_perm):
+        scores.add(lopo(mixed.filter(F.col("perm") == i), features, algo, params), perm=i)
+    return ranking.auc(scores.read(), ["perm"])
 
 
 def stack(table: DataFrame, features: Sequence[str], bases: Sequence[tuple[str, dict]], seed: int = 42) -> DataFrame:
     """Calibrated base models combined by a logistic model that is fitted on their validation scores."""
     data = materialize(splits.apply_split(table, splits.nested_split(table, seed)))
-    val_parts, test_parts = [], []
+    vals, tests = ScoreTable(table.sparkSession), ScoreTable(table.sparkSession)
     keep = [USER, "sample_id"]
     for algo, params in bases:
         model = fit(data.filter(F.col("split") == "train"), features, algo, params, seed)
         val = score(model, data.filter(F.col("split") == "val"), keep)
         test = score(model, data.filter(F.col("split") == "test"), keep)
-        val_parts.append(_tag(platt(val, val), model=algo))
-        test_parts.append(_tag(platt(val, test), model=algo))
+        vals.add(platt(val, val), model=algo)
+        tests.add(platt(val, test), model=algo)
     names = [a for a, _ in bases]
 
-    def wide(parts: list[DataFrame]) -> DataFrame:
-        rows = _union(parts).groupBy(*keep, F.col("y_true").alias(TARGET))
-        return rows.pivot("model", names).agg(F.first("y_cal"))
+    def wide(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keep, F.col("y_true").alias(TARGET)).pivot("model", names).agg(F.first("y_cal"))
 
-    meta = fit(materialize(wide(val_parts)), names, "lr", {}, seed)
-    stacked = score(meta, wide(test_parts), keep)
-    base = _union([p.select("model", *keep, "y_true", F.col("y_cal").alias("y_prob")) for p in test_parts])
+    meta = fit(materialize(wide(vals.read())), names, "lr", {}, seed)
+    stacked = score(meta, wide(tests.read()), keep)
+    base = tests.read().select("model", *keep, "y_true", F.col("y_cal").alias("y_prob"))
     return base.unionByName(_tag(stacked, model="stack").select("model", *keep, "y_true", "y_prob"))
 
 
@@ -342,7 +411,7 @@ def panel_runs(
     n_boot: int = 200,
 ) -> DataFrame:
     """Models x column subsets x seeds: calibrated test metrics with a user-bootstrap interval."""
-    scored = []
+    scores = ScoreTable(table.sparkSession)
     for seed in seeds:
         data = materialize(splits.apply_split(table, splits.nested_split(table, seed)))
         for name, cols in subsets.items():
@@ -351,9 +420,9 @@ def panel_runs(
                 val = score(model, data.filter(F.col("split") == "val"), [USER])
                 test = score(model, data.filter(F.col("split") == "test"), [USER])
                 cal = platt(val, test).withColumn("y_prob", F.col("y_cal")).drop("y_cal")
-                scored.append(_tag(cal, model=algo, subset=name, seed=seed))
+                scores.add(cal, model=algo, subset=name, seed=seed)
     keys = ["model", "subset", "seed"]
-    preds = materialize(_union(scored))
+    preds = scores.read()
     draws = resample.cluster_bootstrap(preds, keys, USER, n_boot)
     ci = resample.interval(draws, keys, ["roc_auc"]).select(
         *keys, F.col("roc_auc_lo").alias("auc_ci_lo"), F.col("roc_auc_hi").alias("auc_ci_hi")
@@ -364,12 +433,12 @@ def panel_runs(
 def grouped_cv(table: DataFrame, features: Sequence[str], models: Sequence[tuple[str, dict]], n_splits: int = 5, seed: int = 42) -> DataFrame:
     """Metrics per fold of user-grouped cross-validation."""
     data = materialize(table.join(splits.group_folds(table, n_splits).select(USER, "fold"), USER))
-    scored = []
+    held = data.groupBy("fold").agg(F.count_if(F.col(TARGET) == 1).alias("pos"), F.count_if(F.col(TARGET) == 0).alias("neg")).collect()  # one row per fold
+    pos, neg = sum(r["pos"] for r in held), sum(r["neg"] for r in held)
+    scores = ScoreTable(table.sparkSession)
     for algo, params in models:
-        for k in range(n_splits):
-            train = data.filter(F.col("fold") != k)
-            pos, neg = class_counts(train)
-            if pos and neg:
-                model = fit(train, features, algo, params, seed)
-                scored.append(_tag(score(model, data.filter(F.col("fold") == k), [USER]), algo=algo, fold=k))
-    return ranking.panel(materialize(_union(scored)), ["algo", "fold"])
+        for k, own_pos, own_neg in sorted((r["fold"], r["pos"], r["neg"]) for r in held):
+            if pos > own_pos and neg > own_neg:
+                model = fit(data.filter(F.col("fold") != k), features, algo, params, seed)
+                scores.add(score(model, data.filter(F.col("fold") == k), [USER]), algo=algo, fold=k)
+    return ranking.panel(scores.read(), ["algo", "fold"])

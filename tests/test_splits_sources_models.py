@@ -154,3 +154,71 @@ def test_ensemble_and_majority(frame):
     assert M.ensemble(p, ["sample_id"], "model", {"a": 0.6, "b": 0.4}).first()["y_prob"] == pytest.approx(0.44)
     rows = frame([(0,), (1,), (1,)], "target int")
     assert {r["y_pred"] for r in M.majority_baseline(rows, rows).collect()} == {1}
+
+
+def test_more_users_than_any_limit(spark, monkeypatch):
+    df = blobs(spark, 2400).withColumn("user_key", F.pmod("sample_id", F.lit(1200)))
+    walked = []
+
+    def fitted(train, features, algo, params, seed):
+        walked.append(1)
+        return None
+
+    monkeypatch.setattr(M, "fit", fitted)
+    monkeypatch.setattr(M, "score", lambda model, test, keep: test.select(*keep, F.lit(1).alias("y_true"), F.lit(0.5).alias("y_prob")))
+    monkeypatch.setattr(M.ScoreTable, "has", lambda self, **labels: False)
+    added = []
+    monkeypatch.setattr(M.ScoreTable, "add", lambda self, scored, **labels: added.append(labels["held"]))
+    monkeypatch.setattr(M.ScoreTable, "read", lambda self: spark.createDataFrame([(h,) for h in added], "held string"))
+    M.lopo(df, ["a"], "lr", {})
+    assert len(walked) == len(set(added)) == 1200
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    df, path = blobs(spark, 60), str(tmp_path / "scores")
+    whole = sorted(map(tuple, M.lopo(df, ["a"], "lr", {"max_iter": 5}, path=path).collect()))
+    fits = []
+    real = M.fit
+    monkeypatch.setattr(M, "fit", lambda *a, **k: (fits.append(1), real(*a, **k))[1])
+    assert sorted(map(tuple, M.lopo(df, ["a"], "lr", {"max_iter": 5}, path=path).collect())) == whole and not fits
+
+
+def test_from_sweep_to_headline(spark):
+    from cohortlake.operators import select
+    from cohortlake.plans import reports
+
+    df = blobs(spark, 240)
+    cells = df.withColumn("threshold", F.lit(2)).unionByName(df.filter("sample_id % 4 < 2").withColumn("threshold", F.lit(3)))
+    cells = cells.withColumns({"input_length_days": F.lit(7), "washout_days": F.lit(0)})
+    split = spark.createDataFrame([(u, s) for u, s in enumerate(["train", "train", "train", "val", "test", "train"])], "user_key bigint, split string")
+    trials = M.param_grid({"lr": {"C": [0.1, 1.0]}, "rf": {"n_estimators": [5], "max_depth": [3]}})
+    keys = ["threshold", "input_length_days", "washout_days"]
+    swept, final = M.tune_and_test(cells, split, ["a", "b"], keys, trials)
+    rows = swept.collect()
+    assert sorted(r["trial_id"] for r in rows) == list(range(6))
+    assert not [c for c in swept.columns if c.startswith("test_")] and all(r["val_tuned_f1"] is not None and r["tuned_threshold"] is not None for r in rows)
+    assert all(r["n_features"] == 2 and r["val_precision_at_recall_floor"] is not None for r in rows)
+    best = {r["algo"]: r["trial_id"] for r in select.best_trials(swept, ["algo"]).collect()}
+    out = {r["name"]: r for r in reports.headline(final).collect()}
+    assert {r["algo"]: r["trial_id"] for r in final.collect()} == best and set(out) == {"lr", "rf"}
+    assert all(r["test_pr_auc"] > 0.8 and r["val_test_pr_auc_gap"] is not None for r in out.values())
+
+
+def test_only_unfit_trials_become_empty_rows(spark, monkeypatch):
+    df = blobs(spark, 60).withColumn("threshold", F.lit(2))
+    split = spark.createDataFrame([(u, s) for u, s in enumerate(["train", "train", "train", "val", "test", "train"])], "user_key bigint, split string")
+    empty = M.sweep(df, split, ["c"], ["threshold"], [("lr", {})]).collect()
+    assert [r["trial_id"] for r in empty] == [0]
+
+    def broken(*a, **k):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(M, "fit", broken)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        M.sweep(df, split, ["a"], ["threshold"], [("lr", {})])
+
+
+def test_deep_trees_are_refused():
+    assert M.tree_depth(None) == 30 and M.tree_depth(7) == 7
+    with pytest.raises(ValueError, match="31"):
+        M.tree_depth(31)
