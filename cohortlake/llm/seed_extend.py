@@ -97,11 +97,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     Rows that repeat a key are separate places. Runs may touch; ``maximal`` merges them.
     """
     found = common.stage(seeds(docs, window, anchor))
+    # Most anchors stand once; only the others go on.
+    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("span").alias("low"), F.max("span").alias("high")).filter("times > 1")
+    found = common.stage(found.join(twice.select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchor"))
+    alike, found = found.filter("not differ").select("key", "first", "last"), found.filter("differ")
     # One row per distinct span, with its places counted; partial sums run before the shuffle.
     spans = common.stage(
         found.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("key", "first", "last")).alias("at"))
     )
-    whole = found.join(spans.filter("places > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "first", "last")
+    whole = alike.union(found.join(spans.filter("places > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("key", "first", "last"))
     # Anchors around which spans differ: a window may still be shared by two of them.
     several = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("spans")).filter("spans > 1").select("anchor")
     edges = spans.join(several, "anchor", "left_semi").select("anchor", "span", "places", "at.*")
