@@ -76,9 +76,9 @@ def _(spark, d):
 
 @query("mod_09_parameter_sweep")
 def _(spark, d):
-    # Two grid cells: all rows, and rows of the even samples.
+    # Two grid cells: all rows, and half of the rows of each user.
     t = table(spark, d)
-    cells = t.withColumn("threshold", F.lit(2)).unionByName(t.filter("sample_id % 2 = 0").withColumn("threshold", F.lit(3)))
+    cells = t.withColumn("threshold", F.lit(2)).unionByName(t.filter("sample_id % 4 < 2").withColumn("threshold", F.lit(3)))
     trials = M.param_grid({"lr": {"C": [0.1, 1.0]}, "rf": {"n_estimators": [10], "max_depth": [3]}})
     return rounded(M.sweep(cells, splits.three_way_split(t), X, ["threshold"], trials))
 
@@ -89,7 +89,7 @@ def _(spark, d):
 
     # Tune, select, refit and report on one table: two grid cells as above.
     t = table(spark, d)
-    cells = t.withColumn("threshold", F.lit(2)).unionByName(t.filter("sample_id % 2 = 0").withColumn("threshold", F.lit(3)))
+    cells = t.withColumn("threshold", F.lit(2)).unionByName(t.filter("sample_id % 4 < 2").withColumn("threshold", F.lit(3)))
     cells = cells.withColumns({"input_length_days": F.lit(7), "washout_days": F.lit(0)})
     trials = M.param_grid({"lr": {"C": [0.1, 1.0]}, "rf": {"n_estimators": [20], "max_depth": [3]}})
     _, final = M.tune_and_test(cells, splits.three_way_split(t), X, ["threshold", "input_length_days", "washout_days"], trials)
