@@ -19,6 +19,7 @@ STRUCTURE = ("bias", "length", "mean_word", "upper", "symbol", "digit", "punct",
 FACTORS = 8
 TRAIN_ROWS = 12_000  # most labelled documents that the model is fitted on
 EPOCHS = 12
+LEAST_STEPS = 400  # a small sample gets more epochs
 BATCH = 256
 RATE = 0.02
 DECAY = 1e-4
@@ -91,7 +92,7 @@ class Machine:
         share = float(np.clip(y.mean(), 0.01, 0.99))
         weight = np.where(y > 0, 1.0, np.sqrt(share / (1 - share)))
         step_w, step_v = sparse.Adam(self.w.shape, RATE), sparse.Adam(self.v.shape, RATE / 2)
-        for _ in range(epochs):
+        for _ in range(max(epochs, LEAST_STEPS * BATCH // len(y))):
             order = random.permutation(len(y))
             for k in range(0, len(y), BATCH):
                 some = order[k : k + BATCH]
