@@ -64,7 +64,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     buckets = sparse.Buckets(BITS)
     for batch in batches:
         rows = [_entries(t if isinstance(t, str) else "", c, buckets) for t, c in zip(batch["text"], batch["n_chars"].astype(float), strict=True)]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "index": [i for i, _ in rows], "value": [v for _, v in rows]})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "index": [i.astype(np.int32) for i, _ in rows], "value": [v.astype(np.float32) for _, v in rows]})
 
 
 class Machine:
@@ -116,11 +116,12 @@ def train(docs: DataFrame, labels: DataFrame, held_out, most: int = TRAIN_ROWS)
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     ids = common.stage(sparse.sample_ids(known, most))
     chosen = docs.select("doc_id", "text", "n_chars").join(F.broadcast(ids), "doc_id")  # ids: TRAIN_ROWS rows at most
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, index array<long>, value array<double>"
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label double, index array<int>, value array<float>"
     table = sparse.collect_rows(chosen.mapInPandas(_features, kinds), most)
     machine = Machine(len(STRUCTURE) + (1 << BITS), FACTORS)
     if len(table):
-        machine.fit(sparse.Rows(list(zip(table["index"], table["value"], strict=True))), table["label"].to_numpy())
+        rows = list(zip(sparse.arrays(table["index"]), sparse.arrays(table["value"]), strict=True))
+        machine.fit(sparse.Rows(rows), table["label"].to_numpy())
     return machine
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -80,6 +80,15 @@ def sample_ids(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     return rows.orderBy(F.xxhash64(key), key).limit(most)
 
 
-def collect_rows(rows: DataFrame, most: int) -> pd.DataFrame:
+def collect_rows(rows: DataFrame, most: int) -> pa.Table:
     """A bounded sample to the driver, for fitting."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toArrow()
+
+
+def arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column, as views of its flat values."""
+    out = []
+    for chunk in column.chunks:
+        values, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(at, at[1:], strict=False)]
+    return out

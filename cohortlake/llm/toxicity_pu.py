@@ -129,8 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Classifier:
     ids = confirmed.withColumn("positive", F.lit(True)).union(unlabelled.withColumn("positive", F.lit(False)))
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by the two samples
     features = common.stage(chosen.mapInPandas(_features, f"doc_id {kind}, positive boolean, index array<int>"))
-    positive = sparse.collect_rows(features.filter("positive"), POSITIVE_ROWS)["index"].tolist()
-    rest = sparse.collect_rows(features.filter("not positive"), UNLABELLED_ROWS)["index"].tolist()
+    positive = sparse.arrays(sparse.collect_rows(features.filter("positive"), POSITIVE_ROWS)["index"])
+    rest = sparse.arrays(sparse.collect_rows(features.filter("not positive"), UNLABELLED_ROWS)["index"])
     if not positive:
         return model
     model.fit(positive, rest, float(np.clip(prior, 0.001, 0.99)))

@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    got, want = rows_of(queries.QUERIES[name](spark, DATA).toArrow()), rows_of(con.execute(queries.ORACLES[name]).fetch_arrow_table())
+    got, want = rows_of(queries.QUERIES[name](spark, DATA).toArrow()), rows_of(con.execute(queries.ORACLES[name]).to_arrow_table())
     assert got[0] == want[0] and got[2] == want[2]
 
 
