@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.catalogue import derived as Q, labelling as LB
-from cohortlake.catalogue.common import daily_tables, label_tables, minutes, minutes_a, rounded, sql_rounded
+from cohortlake.catalogue.common import DIGITS, HAIR, daily_tables, label_tables, minutes, minutes_a, rounded, sql_rounded
 from cohortlake.catalogue.ctes import cte
 from cohortlake.catalogue.registry import query
 from cohortlake.functions import exprs as E
-from cohortlake.operators import daily as D, profile, timejoin, windows as WN
+from cohortlake.operators import daily as D, profile, splits, timejoin, windows as WN
 from cohortlake.plans import features as X
 from cohortlake.sources import schemas as S, standin as V
 from cohortlake.sources.tables import GRID_KEYS, materialize, read_grid, scratch_dir, write_daily_tables, write_grid
@@ -555,6 +555,34 @@ def _(spark, d):
     return rounded(out.select("user_key", "anchor_relative_minute", "split", "target_binary", *EXP))
 
 
+# The whole tensor, beside the queries above that keep every SEQ_STEP-th minute.
+CHANNELS = ["hr", "activity_type", "intensity", "steps"]
+cte("tensor_split", "labelled", NEST.format(src="labelled"))
+cte("tensor_rows", "labelled minutes tensor_split", f"""
+SELECT w.user_key, w.anchor_relative_minute, s.split, w.minute, {', '.join('m.' + c for c in CHANNELS)}
+FROM (SELECT user_key, anchor_relative_minute, unnest(range(anchor_relative_minute - 1440, anchor_relative_minute)) AS minute
+      FROM (SELECT DISTINCT user_key, anchor_relative_minute FROM labelled)) w
+JOIN tensor_split s ON s.user_key = w.user_key
+LEFT JOIN (SELECT user_key, relative_minute, {', '.join(f'avg({c}) AS {c}' for c in CHANNELS)} FROM minutes GROUP BY ALL) m
+  ON m.user_key = w.user_key AND m.relative_minute = w.minute
+""")
+Z_SQL = ", ".join(f"round(coalesce(({c} - {c}_m) / CASE WHEN {c}_s <= 0 THEN 1 ELSE {c}_s END, 0) + {HAIR}::DOUBLE, {DIGITS}) + 0" for c in CHANNELS)
+
+
+@query(
+    "pip_14_minute_tensor",
+    f"""SELECT user_key, anchor_relative_minute, split, list([{Z_SQL}] ORDER BY minute) AS sequence
+       FROM tensor_rows, (SELECT {', '.join(f'avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s' for c in CHANNELS)} FROM tensor_rows WHERE split = 'train')
+       GROUP BY user_key, anchor_relative_minute, split""",
+    "tensor_rows",
+)
+def _(spark, d):
+    labelled = materialize(LB.labelled(spark, d).select("user_key", "anchor_relative_minute"))
+    tensor = X.minute_tensor(labelled, minutes(spark, d), CHANNELS, splits.nested_split(labelled))
+    cell = F.transform("sequence", lambda v: F.transform(v, lambda x: F.round(x + HAIR, DIGITS)))
+    return tensor.withColumn("sequence", cell)
+
+
 # --- storage of samples by grid cell --------------------------------------------------------------
 
 
