@@ -33,6 +33,9 @@ LONG_WORD = 4096  # characters without white space beyond which the slower, neve
 class Encoder:
     """Token ids of a byte-level BPE file of the ``tokenizers`` library, special tokens' strings being plain text.
 
+    With ``added``, the ids are those of the file as ``tokenizers`` loads it: the content of an added token is that
+    token, and texts that hold one go through ``tokenizers``.
+
     Where ids are in the order of the merges, as byte-level BPE files have them, ranks say the same as merges, and
     the ids are computed by ``tiktoken`` from the file's own vocabulary, about four times as fast. Any other file,
     and texts with very long words, go through ``tokenizers``.
@@ -40,14 +43,15 @@ class Encoder:
 
     PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
         self.fast = None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []] if added else []
         steps, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = spec.get("normalizer") is None and steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
@@ -62,19 +66,19 @@ class Encoder:
             self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and (len(text) <= LONG_WORD or not re.search(r"\S{%d}" % LONG_WORD, text)):
+        if self.fast and not any(t in text for t in self.added) and (len(text) <= LONG_WORD or not re.search(r"\S{%d}" % LONG_WORD, text)):
             return np.array(self.fast.encode_ordinary(text), "<u4")
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_ID, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Each row's token ids and ``end``, cut from the back into pieces of ``length``; the first may be shorter.
 
     A null text is an empty one: the single id ``end``. Rows that repeat are documents of their own.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -239,9 +243,9 @@ def pack(items: DataFrame, capacity: int = LENGTH) -> DataFrame:
     return done
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END_ID, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Each piece of each document with its sequence and offset. An empty table has no pieces."""
-    cut = common.stage(pieces(docs, tokenizer, length, end, with_ids).withColumn("uid", F.monotonically_increasing_id()))
+    cut = common.stage(pieces(docs, tokenizer, length, end, with_ids, added).withColumn("uid", F.monotonically_increasing_id()))
     return cut.join(pack(cut.select("uid", "length"), length), "uid").drop("uid")
 
 

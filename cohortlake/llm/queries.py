@@ -72,7 +72,7 @@ def op7_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 @query
