@@ -426,9 +426,9 @@ FROM null_metrics m JOIN real_metric r ON r.config = m.config GROUP BY m.config,
 """
 
 
-def null_summary(spark, d):
+def null_summary(spark, d, n_perm=N_PERM):
     p = V.preds(spark, d).select("sample_id", "user_key", "y_true", "y_prob")
-    null = M.permuted_null(p, N_PERM).withColumns({"config": F.lit("all"), "roc_auc": F.round("roc_auc", 12)})
+    null = M.permuted_null(p, n_perm).withColumns({"config": F.lit("all"), "roc_auc": F.round("roc_auc", 12)})
     real = R.auc(p.withColumn("config", F.lit("all")), K).withColumn("roc_auc", F.round("roc_auc", 12))
     return RS.permutation_summary(null, real)
 
@@ -443,6 +443,73 @@ def _(spark, d):
     return rounded(null_summary(spark, d).select("config", "p_value"))
 
 
+# The counts of the study, beside the queries above with N_BOOT and N_PERM draws.
+ROW_BOOT, USER_BOOT, USER_PERM = 2000, 1000, 200
+cte("row_draws_study", "row_numbers", f"""
+SELECT n.config, n.draw, CAST(('0x' || substr(md5('42:' || n.draw || ':' || n.idx), 1, 15)) AS BIGINT) % n.size AS idx
+FROM (SELECT *, unnest(range({ROW_BOOT})) AS draw FROM row_numbers) n
+""")
+cte("row_resamples_study", "row_draws_study row_numbers",
+    draw_metrics("(SELECT d.config, d.draw, r.y_prob, r.y_true FROM row_draws_study d JOIN row_numbers r USING (config, idx))"))
+cte("user_resamples_study", "user_numbers", draw_metrics(f"""(
+  SELECT n.config, n.draw, p.y_prob, p.y_true
+  FROM (SELECT *, unnest(range({USER_BOOT})) AS draw FROM user_numbers) n
+  JOIN user_numbers u ON u.config = n.config AND u.idx = CAST(('0x' || substr(md5('42:' || n.draw || ':' || n.idx), 1, 15)) AS BIGINT) % n.size
+  JOIN preds p ON p.config = u.config AND p.user_key = u.user_key)"""))
+cte("null_draws_study", "preds", f"""
+SELECT g.perm, r.y_prob, l.y_true AS y_true_perm
+FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY sample_id) AS rn FROM preds) r
+JOIN (SELECT user_key, row_number() OVER (ORDER BY md5('users:' || user_key), user_key) AS place FROM (SELECT DISTINCT user_key FROM preds)) t ON t.user_key = r.user_key
+JOIN (SELECT *, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || user_key), user_key) AS place
+      FROM (SELECT user_key, count(*) AS n, unnest(range({USER_PERM})) AS perm FROM preds GROUP BY user_key)) g ON g.place = t.place
+JOIN (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY sample_id) AS rn FROM preds) l ON l.user_key = g.user_key AND l.rn = (r.rn - 1) % g.n + 1
+""")
+cte("null_metrics_study", "null_draws_study", draw_metrics("(SELECT 'all' AS config, perm AS draw, y_prob, y_true_perm AS y_true FROM null_draws_study)"))
+
+
+@query(
+    "rsm_01_row_bootstrap_ci_study",
+    sql_rounded(CI, """SELECT a.config, a.n, a.pos, CASE WHEN a.pos BETWEEN 1 AND a.n - 1 AND a.n >= 5 THEN a.roc_auc END AS roc_auc,
+         CASE WHEN a.pos BETWEEN 1 AND a.n - 1 AND a.n >= 5 THEN a.pr_auc END AS pr_auc, quantile_cont(r.roc_auc, 0.025) AS roc_auc_lo, quantile_cont(r.roc_auc, 0.975) AS roc_auc_hi,
+         quantile_cont(r.pr_auc, 0.025) FILTER (r.roc_auc IS NOT NULL) AS pr_auc_lo, quantile_cont(r.pr_auc, 0.975) FILTER (r.roc_auc IS NOT NULL) AS pr_auc_hi
+       FROM aucs a JOIN row_resamples_study r ON r.config = a.config GROUP BY ALL"""),
+    "aucs row_resamples_study",
+)
+def _(spark, d):
+    return rounded(RS.bootstrap_ci(V.preds(spark, d), K, "sample_id", ROW_BOOT))
+
+
+@query("rsm_02_cluster_bootstrap_study", sql_rounded("roc_auc pr_auc", "SELECT * FROM user_resamples_study"), "user_resamples_study preds")
+def _(spark, d):
+    return rounded(RS.cluster_bootstrap(V.preds(spark, d), K, "user_key", USER_BOOT)).withColumn("draw", F.col("draw").cast("bigint"))
+
+
+@query(
+    "evl_17_panel_with_interval_study",
+    sql_rounded("f1 roc_auc pr_auc auc_ci_lo auc_ci_hi", """SELECT c.config, c.f1, a.roc_auc, CASE WHEN a.pos BETWEEN 1 AND a.n - 1 THEN a.pr_auc END AS pr_auc, quantile_cont(u.roc_auc, 0.025) AS auc_ci_lo, quantile_cont(u.roc_auc, 0.975) AS auc_ci_hi
+       FROM confusion c JOIN aucs a USING (config) JOIN user_resamples_study u ON u.config = c.config GROUP BY ALL"""),
+    "confusion aucs user_resamples_study",
+)
+def _(spark, d):
+    p = V.preds(spark, d)
+    ci = RS.interval(RS.cluster_bootstrap(p, K, "user_key", USER_BOOT), K, ["roc_auc"])
+    return rounded(R.panel(p, K).join(ci, K, "left").select(
+        "config", "f1", "roc_auc", "pr_auc", F.col("roc_auc_lo").alias("auc_ci_lo"), F.col("roc_auc_hi").alias("auc_ci_hi")
+    ))
+
+
+@query(
+    "agg_25_null_distribution_study",
+    sql_rounded(NULL_COLS, """SELECT m.config, r.roc_auc AS real_value, count(m.roc_auc) AS null_n, avg(m.roc_auc) AS null_mean, stddev_samp(m.roc_auc) AS null_std,
+         quantile_cont(m.roc_auc, 0.05) AS null_q05, quantile_cont(m.roc_auc, 0.5) AS null_q50, quantile_cont(m.roc_auc, 0.95) AS null_q95,
+         (count(*) FILTER (round(m.roc_auc, 12) >= round(r.roc_auc, 12)) + 1) / CAST(count(m.roc_auc) + 1 AS DOUBLE) AS p_value
+       FROM null_metrics_study m JOIN real_metric r ON r.config = m.config GROUP BY m.config, r.roc_auc"""),
+    "null_metrics_study real_metric",
+)
+def _(spark, d):
+    return rounded(null_summary(spark, d, USER_PERM))
+
+
 # --- joins between result tables ------------------------------------------------------------------
 
 GRID = ["threshold", "input_length_days", "washout_days"]
