@@ -330,6 +330,51 @@ def _(spark, d):
     return rounded(X.coverage_manifest(spark.read.parquet(path)))
 
 
+# All cells, all four sources and the static block, beside the queries above over one cell or two sources.
+ALL_BLOCKS = " ".join(f"{s}_block" for s in X.SOURCES)
+WHOLE_JOINS = "\n".join(
+    f"LEFT JOIN {s}_block {s} ON {s}.user_key = s.user_key AND {s}.window_start_day = s.window_start_day AND {s}.window_end_day = s.window_end_day"
+    for s in X.SOURCES
+)
+WHOLE_DOUBLES = [c for s in X.SOURCES for c in Q.window_doubles(s)] + STATIC_DOUBLES
+WHOLE_COVERAGE = [f"{s}_day_coverage_mean" for s in X.SOURCES]
+WHOLE_COVERAGE_SQL = f"""
+SELECT threshold, input_length_days, washout_days, count(*) AS rows, count(*) FILTER (target = 1) AS positive_rows,
+       count(*) FILTER (target = 0) AS negative_rows, {', '.join(f'avg({s}.{s}_day_coverage) AS {s}_day_coverage_mean' for s in X.SOURCES)}
+FROM samples s
+{WHOLE_JOINS}
+GROUP BY ALL
+"""
+
+
+def whole_training(spark, d):
+    return X.training_table(samples(spark, d), daily_tables(spark, d), D.patient_static(V.patient(spark, d)))
+
+
+@query(
+    "pip_11_training_table_whole",
+    sql_rounded(WHOLE_DOUBLES, f"""SELECT s.*, {', '.join(f'{s}.* EXCLUDE (user_key, window_start_day, window_end_day)' for s in X.SOURCES)}, t.* EXCLUDE (user_key)
+FROM samples s
+{WHOLE_JOINS}
+LEFT JOIN patient_static t ON t.user_key = s.user_key""", 5),
+    f"samples {ALL_BLOCKS} patient_static",
+)
+def _(spark, d):
+    return rounded(whole_training(spark, d), 5)
+
+
+@query("agg_19_coverage_manifest_whole", sql_rounded(WHOLE_COVERAGE, WHOLE_COVERAGE_SQL), f"samples {ALL_BLOCKS}")
+def _(spark, d):
+    return rounded(X.coverage_manifest(whole_training(spark, d)))
+
+
+@query("pip_12_write_cells_whole", sql_rounded(WHOLE_COVERAGE, WHOLE_COVERAGE_SQL), f"samples {ALL_BLOCKS}")
+def _(spark, d):
+    path = f"{scratch_dir(spark)}/cells"
+    write_grid(whole_training(spark, d), path)
+    return rounded(X.coverage_manifest(spark.read.parquet(path)))
+
+
 BLOCK_SQL = ", ".join(
     [f"coalesce(CAST(i.{c} AS DOUBLE), -1) AS {c}" for c in Q.DAILY_COLUMNS["smartinhaler"]]
     + ["CAST(i.user_key IS NULL AS INTEGER) AS smartinhaler_missing"]
