@@ -1,8 +1,8 @@
-"""Jaccard self-join on word n-grams by a MinHash LSH forest, with exact verification.
+"""Jaccard self-join on word n-grams by banded MinHash, with exact verification.
 
-Each text has a MinHash signature, cut into trees of labels. In a tree's prefix trie, the texts below one node share
-a label prefix. Prefixes are shortened from the full depth, one value at a time, until a pair at the threshold shares
-a node in some tree with the target recall; nodes at that depth contain those of all longer prefixes.
+Fixed bands replace the LSH forest: the depth of the label prefixes follows from threshold and target recall alone,
+before any data is read, and no longer labels, sorted tries or adaptive shortening exist. A pair at the threshold meets
+in some of the bands, called trees here, with the target recall.
 
 Nodes are groups of a shuffle by prefix. Their members are linked to the node's first member, not to each other, and
 the connected components of these links hold all candidate pairs. Components are verified exactly by block against
