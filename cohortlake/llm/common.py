@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -145,3 +146,32 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if not changed:
             return labels
+
+
+def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
+    """Join condition: equal in ``columns``, nulls equal to each other; the right side's are named with a trailing _."""
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"{c}_"]) for c in columns])
+
+
+def numbered(df: DataFrame, group: list[str], order: list[Column], details: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``place``, each row's rank from 0 in its group by ``order``, and ``of``, the rows of its group.
+
+    ``details`` has one row per group; its other columns are added too. A group may hold any share of the rows: all
+    rows are sorted in ranges, a row's place in its range is read off its number there, and only one row per range
+    and group is summed up and joined. Rows that tie go by their place in ``df``, which should be a written table.
+    """
+    tied = df.withColumn("table_at", F.monotonically_increasing_id())
+    by = [*[F.col(c) for c in group], *order, F.col("table_at")]
+    ranged = stage(tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("table_at").withColumn("range_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("range_no", F.shiftright("range_at", 33))
+    runs = ranged.groupBy("range_no", *group).agg(F.count(F.lit(1)).alias("n"), F.min("range_at").alias("run_first"))
+    whole = W.partitionBy(*group)
+    before = whole.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("run_start", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("run_first")).withColumn("of", F.sum("n").over(whole))
+    runs = runs.drop("n", "run_first").withColumnsRenamed({c: f"{c}_" for c in ["range_no", *group]})
+    if details is not None:
+        given = details.withColumnsRenamed({c: f"{c}_of" for c in group})
+        match = reduce(lambda a, b: a & b, [runs[f"{c}_"].eqNullSafe(given[f"{c}_of"]) for c in group])
+        runs = runs.join(given, match).drop(*[f"{c}_of" for c in group])
+    out = ranged.join(runs, same(ranged, runs, ["range_no", *group]))
+    return out.withColumn("place", F.col("range_at") + F.col("run_start")).drop("range_at", "range_no", "run_start", *[f"{c}_" for c in ["range_no", *group]])

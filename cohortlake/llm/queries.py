@@ -7,7 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlake.llm import common, decontaminate, line_chunks, ngram_join, packing, quality_fm, rendezvous, robust_rules, seed_extend, toxicity_pu, warc
+from cohortlake.llm import (
+    balance,
+    common,
+    decontaminate,
+    line_chunks,
+    merkle,
+    ngram_join,
+    packing,
+    quality_fm,
+    rendezvous,
+    robust_rules,
+    seed_extend,
+    spelling,
+    toxicity_pu,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +93,22 @@ def op4_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_documents(spark, sf_dir)).drop("key", "label")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
+@query
+def op12_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.mix(_documents(spark, sf_dir))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+ORACLES["op11_merkle_manifest"] = merkle.ORACLE
+ORACLES["op13_spelling_variants"] = spelling.ORACLE
