@@ -224,12 +224,10 @@ def _(spark, d):
     "samples peakflow_daily",
 )
 def _(spark, d):
-    wins = samples(spark, d).select(*WN.WINDOW_KEYS).distinct()
     daily = D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)).select("user_key", "date", "peakflow_measurement_count")
-    laid = timejoin.dense_calendar(wins, daily, ["user_key"], "window_start_day", "window_end_day", "date")
-    return laid.groupBy(*WN.WINDOW_KEYS).agg(
-        F.count("peakflow_measurement_count").alias("days"), F.sum("peakflow_measurement_count").alias("readings")
-    )
+    block = WN.window_block(samples(spark, d), daily, "peakflow")
+    readings = F.col("peakflow_measurement_count_window_sum").cast("long")
+    return block.select(*WN.WINDOW_KEYS, F.col("peakflow_days_observed").cast("long").alias("days"), readings.alias("readings"))
 
 
 @query(
@@ -454,11 +452,9 @@ def _(spark, d):
     "smartinhaler_block peakflow_block",
 )
 def _(spark, d):
-    index = samples(spark, d)
-    a = WN.window_block(index, D.inhaler_daily(V.inhaler(spark, d)), "smartinhaler", True)
-    b = WN.window_block(index, D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)), "peakflow")
-    keys = WN.WINDOW_KEYS
-    return rounded(a.select(*keys, "smartinhaler_day_coverage").join(b.select(*keys, "peakflow_day_coverage"), keys))
+    daily = {"smartinhaler": D.inhaler_daily(V.inhaler(spark, d)), "peakflow": D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d))}
+    out = WN.window_blocks(samples(spark, d), daily, ["smartinhaler"])
+    return rounded(out.select(*WN.WINDOW_KEYS, "smartinhaler_day_coverage", "peakflow_day_coverage"))
 
 
 # --- dense calendars and tensors ------------------------------------------------------------------

@@ -130,3 +130,52 @@ def test_any_number_of_categories(frame):
     wide = D.patient_static(patient, {"region": ["v001", "v002"]}).columns
     assert [c for c in wide if c.startswith("patient_region")] == ["patient_region_v001", "patient_region_v002", "patient_region_nan"]
 
+
+
+def brute_blocks(windows, tables):
+    out = {}
+    for u, a, b in set(windows):
+        row = {}
+        for name, (cols, rows) in tables.items():
+            held = [r for r in rows if r[0] == u and a <= r[1] <= b]
+            row[f"{name}_days_observed"] = float(len(held))
+            row[f"{name}_day_coverage"] = len(held) / (b - a + 1)
+            for k, c in enumerate(cols):
+                v = [r[2 + k] for r in held if r[2 + k] is not None]
+                zero = 0.0 if name == "z" else None
+                row |= {f"{c}_window_{s}": zero for s in W.STATS}
+                if v:
+                    row |= dict(zip((f"{c}_window_{s}" for s in W.STATS), (sum(v), np.mean(v), np.std(v), min(v), max(v))))
+        out[u, a, b] = row
+    return out
+
+
+def test_window_blocks_of_several_sources_slide_over_blocks(frame, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(W, "BLOCK_WINDOWS", 2)  # many block edges
+    windows = [(u, e - n + 1, e) for u in (1, 2, 3, 9) for e in range(-20, 120, 3) for n in (1, 4, 9) if rng.random() < 0.8]
+    some = lambda: None if rng.random() < 0.3 else rng.choice([1e9 + rng.random(), rng.uniform(-5, 5), 3.0])
+    days = lambda: [(u, x) for u in (1, 2, 3, None) for x in range(-30, 130) if rng.random() < 0.5]
+    tables = {"z": (["za", "zb"], [(*k, some(), some()) for k in days()]), "n": (["na"], [(*k, some()) for k in days()])}
+    daily = {
+        "z": frame(tables["z"][1], "user_key bigint, date int, za double, zb double"),
+        "n": frame(tables["n"][1], "user_key bigint, date int, na double"),
+    }
+    samples = frame(windows * 3, "user_key bigint, window_start_day int, window_end_day int")
+    got = W.window_blocks(samples, daily, ["z"])
+    assert [t for _, t in got.dtypes[:3]] == ["bigint", "int", "int"]
+    want = brute_blocks(windows, tables)
+    rows = {(r["user_key"], r["window_start_day"], r["window_end_day"]): r.asDict() for r in got.collect()}
+    assert set(rows) == set(want)
+    for k, row in want.items():
+        for c, v in row.items():
+            assert (rows[k][c] is None) == (v is None) and (v is None or math.isclose(rows[k][c], v, rel_tol=1e-9, abs_tol=1e-6)), (k, c)
+    none = W.window_blocks(samples.limit(0), daily, ["z"])
+    assert none.columns == got.columns and none.count() == 0
+
+
+def test_window_blocks_hold_a_great_mean(frame):
+    """Deviations of 1e-3 on values of 1e9 survive, as squares of sums would not let them."""
+    samples = frame([(1, 0, 3)], "user_key int, window_start_day int, window_end_day int")
+    daily = frame([(1, k, 1e9 + (k % 2) * 2e-3) for k in range(4)], "user_key int, date int, a double")
+    assert math.isclose(W.window_block(samples, daily, "s").first()["a_window_std"], 1e-3, rel_tol=1e-3)
