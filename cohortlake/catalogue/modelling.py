@@ -1,7 +1,8 @@
 """Model jobs over the labelled vectors.
 
 Fitted numbers have no SQL twin. Queries with a twin return what the data determine (ids, labels, sizes) and whether
-the fitted part is what a right fit gives; the numbers themselves are for the library's callers and the unit tests.
+the fitted part is what a right fit gives: the gradient of the penalised loss is zero, training rows are scored better
+than by any constant, calibration is affine in log-odds. The numbers are for callers and the unit tests.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ def table(spark, d):
 
 def fitted_scores(spark, d, algo, params):
     data = materialize(table(spark, d))
-    model = M.fit(data.filter("user_key < 9"), X, algo, params)
-    return M.score(model, data.filter("user_key >= 9"), ["sample_id", "user_key"])
+    train = data.filter("user_key < 9")
+    model = M.fit(train, X, algo, params)
+    scores = M.score(model, data.filter("user_key >= 9"), ["sample_id", "user_key"])
+    out = scored_rows(scores).withColumn("beats_constant", F.lit(M.beats_constant(model, train, algo, params)))
+    return out.withColumn("stationary", F.lit(M.gradient(model, train, params) < 1e-4)) if algo == "lr" else out
 
 
 def scored_rows(scores, value="y_prob"):
@@ -37,30 +41,33 @@ def scored_rows(scores, value="y_prob"):
     return scores.withColumn("in_range", good).drop("y_prob", "y_cal")
 
 
-SCORED = "SELECT sample_id, user_key, CAST(target AS INTEGER) AS y_true, true AS in_range FROM vectors WHERE user_key >= 9"
+SCORED = "SELECT sample_id, user_key, CAST(target AS INTEGER) AS y_true, true AS in_range, true AS beats_constant FROM vectors WHERE user_key >= 9"
 
 
-@query("mod_01_logistic_regression", SCORED, "vectors")
+@query("mod_01_logistic_regression", SCORED.replace(" FROM", ", true AS stationary FROM"), "vectors")
 def _(spark, d):
-    return scored_rows(fitted_scores(spark, d, "lr", LR | {"class_weight": "balanced"}))
+    return fitted_scores(spark, d, "lr", LR | {"class_weight": "balanced"})
 
 
 @query("mod_02_random_forest", SCORED, "vectors")
 def _(spark, d):
-    return scored_rows(fitted_scores(spark, d, "rf", RF | {"class_weight": "balanced"}))
+    return fitted_scores(spark, d, "rf", RF | {"class_weight": "balanced"})
 
 
 @query("mod_03_boosted_trees", SCORED, "vectors")
 def _(spark, d):
-    return scored_rows(fitted_scores(spark, d, "gbt", GBT))
+    return fitted_scores(spark, d, "gbt", GBT)
 
 
-@query("mod_05_platt_calibration", SCORED.replace("user_key, ", ""), "vectors")
+@query("mod_05_platt_calibration", SCORED.replace("user_key, ", "").replace("beats_constant", "affine"), "vectors")
 def _(spark, d):
     data = materialize(table(spark, d))
     model = M.fit(data.filter("user_key < 6"), X, "rf", RF)
     val = M.score(model, data.filter("user_key between 6 and 8"), ["sample_id"])
-    return scored_rows(M.platt(val, M.score(model, data.filter("user_key >= 9"), ["sample_id"])), "y_cal")
+    scores = materialize(M.platt(val, M.score(model, data.filter("user_key >= 9"), ["sample_id"])))
+    odds = F.log(F.col("y_cal") / (1 - F.col("y_cal")))
+    tied = scores.agg(F.abs(F.corr("y_prob", odds))).first()[0]
+    return scored_rows(scores, "y_cal").withColumn("affine", F.lit(bool(tied and tied > 1 - 1e-6)))
 
 
 @query("mod_07_stacking")
@@ -125,15 +132,16 @@ def _(spark, d):
 @query(
     "mod_14_leave_one_user_out",
     """SELECT 'lr' AS config, count(*) AS pooled_n, CAST(sum(target) AS BIGINT) AS pooled_n_pos, count(DISTINCT user_key) AS n_folds_total,
-         count(DISTINCT user_key) FILTER (target = 1) AS n_folds_with_pos, true AS in_range FROM vectors""",
+         count(DISTINCT user_key) FILTER (target = 1) AS n_folds_with_pos, true AS in_range, true AS stationary FROM vectors""",
     "vectors",
 )
 def _(spark, d):
     from cohortlake.operators import ranking
 
-    oof = M.lopo(table(spark, d), X, "lr", LR | {"max_iter": 20}).withColumn("config", F.lit("lr"))
+    oof, fits = M.linear_folds(table(spark, d), X, M.USER, [M.USER, "sample_id"], LR)
     sizes = ["config", "pooled_n", "pooled_n_pos", "n_folds_total", "n_folds_with_pos"]
-    return ranking.pooled(oof).select(*sizes, F.col("pooled_roc_auc").between(0, 1).alias("in_range"))
+    out = ranking.pooled(materialize(oof).withColumn("config", F.lit("lr"))).select(*sizes, F.col("pooled_roc_auc").between(0, 1).alias("in_range"))
+    return out.withColumn("stationary", F.lit(fits.filter("gradient IS NULL OR gradient < 1e-6").count() == fits.count()))
 
 
 @query("mod_15_subset_panel")

@@ -261,74 +261,7 @@ def _(spark, d):
     return rounded(D.patient_static(V.patient(spark, d)))
 
 
-TRAINING = """
-SELECT s.*, i.* EXCLUDE (user_key, window_start_day, window_end_day), p.* EXCLUDE (user_key, window_start_day, window_end_day),
-       t.* EXCLUDE (user_key)
-FROM samples s
-LEFT JOIN smartinhaler_block i ON i.user_key = s.user_key AND i.window_start_day = s.window_start_day AND i.window_end_day = s.window_end_day
-LEFT JOIN peakflow_block p ON p.user_key = s.user_key AND p.window_start_day = s.window_start_day AND p.window_end_day = s.window_end_day
-LEFT JOIN patient_static t ON t.user_key = s.user_key
-"""
-TRAIN_CELL = "threshold = 3 AND input_length_days = 7 AND washout_days = 7"
-
-
-def training(spark, d, sources=("smartinhaler", "peakflow"), cell=TRAIN_CELL):
-    tables = {
-        "smartinhaler": D.inhaler_daily(V.inhaler(spark, d)),
-        "peakflow": D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)),
-    }
-    return X.training_table(samples(spark, d).filter(cell), tables, D.patient_static(V.patient(spark, d)), sources)
-
-
-@query(
-    "pip_11_training_table",
-    sql_rounded(Q.window_doubles("smartinhaler") + Q.window_doubles("peakflow") + STATIC_DOUBLES, TRAINING + f" WHERE {TRAIN_CELL}"),
-    "samples smartinhaler_block peakflow_block patient_static",
-)
-def _(spark, d):
-    return rounded(training(spark, d))
-
-
-@query(
-    "pip_11_training_table_all_sources",
-    sql_rounded(Q.window_doubles("smartwatch") + Q.window_doubles("environment"),
-                f"""SELECT s.*, a.* EXCLUDE (user_key, window_start_day, window_end_day), e.* EXCLUDE (user_key, window_start_day, window_end_day)
-       FROM samples s
-       LEFT JOIN smartwatch_block a ON a.user_key = s.user_key AND a.window_start_day = s.window_start_day AND a.window_end_day = s.window_end_day
-       LEFT JOIN environment_block e ON e.user_key = s.user_key AND e.window_start_day = s.window_start_day AND e.window_end_day = s.window_end_day
-       WHERE {TRAIN_CELL}""", 5),
-    "samples smartwatch_block environment_block",
-)
-def _(spark, d):
-    cell = samples(spark, d).filter(TRAIN_CELL)
-    return rounded(X.training_table(cell, daily_tables(spark, d), None, ["environment", "smartwatch"]), 5)
-
-
-COVERAGE = "smartinhaler_day_coverage_mean peakflow_day_coverage_mean"
-COVERAGE_SQL = """
-SELECT threshold, input_length_days, washout_days, count(*) AS rows, count(*) FILTER (target = 1) AS positive_rows,
-       count(*) FILTER (target = 0) AS negative_rows, avg(smartinhaler_day_coverage) AS smartinhaler_day_coverage_mean,
-       avg(peakflow_day_coverage) AS peakflow_day_coverage_mean
-FROM samples s
-LEFT JOIN smartinhaler_block i ON i.user_key = s.user_key AND i.window_start_day = s.window_start_day AND i.window_end_day = s.window_end_day
-LEFT JOIN peakflow_block p ON p.user_key = s.user_key AND p.window_start_day = s.window_start_day AND p.window_end_day = s.window_end_day
-GROUP BY ALL
-"""
-
-
-@query("agg_19_coverage_manifest", sql_rounded(COVERAGE, COVERAGE_SQL), "samples smartinhaler_block peakflow_block")
-def _(spark, d):
-    return rounded(X.coverage_manifest(training(spark, d, cell="true")))
-
-
-@query("pip_12_write_cells", sql_rounded(COVERAGE, COVERAGE_SQL), "samples smartinhaler_block peakflow_block")
-def _(spark, d):
-    path = f"{scratch_dir(spark)}/cells"
-    write_grid(training(spark, d, cell="true"), path)
-    return rounded(X.coverage_manifest(spark.read.parquet(path)))
-
-
-# All cells, all four sources and the static block, beside the queries above over one cell or two sources.
+# All grid cells, all four sources and the static block.
 ALL_BLOCKS = " ".join(f"{s}_block" for s in X.SOURCES)
 WHOLE_JOINS = "\n".join(
     f"LEFT JOIN {s}_block {s} ON {s}.user_key = s.user_key AND {s}.window_start_day = s.window_start_day AND {s}.window_end_day = s.window_end_day"
@@ -459,9 +392,9 @@ def _(spark, d):
 
 # --- dense calendars and tensors ------------------------------------------------------------------
 
-cte("cell_days", "samples", f"""
+cte("cell_days", "samples", """
 SELECT user_key, window_start_day, window_end_day, CAST(unnest(range(window_start_day, window_end_day + 1)) AS INTEGER) AS cell_day
-FROM (SELECT DISTINCT user_key, window_start_day, window_end_day FROM samples WHERE {TRAIN_CELL})
+FROM (SELECT DISTINCT user_key, window_start_day, window_end_day FROM samples)
 """)
 
 
@@ -472,7 +405,7 @@ FROM (SELECT DISTINCT user_key, window_start_day, window_end_day FROM samples WH
     "cell_days smartinhaler_daily",
 )
 def _(spark, d):
-    wins = samples(spark, d).filter(TRAIN_CELL).select(*WN.WINDOW_KEYS).distinct()
+    wins = samples(spark, d).select(*WN.WINDOW_KEYS).distinct()
     daily = D.inhaler_daily(V.inhaler(spark, d)).select("user_key", F.col("date").alias("cell_day"), "smartinhaler_total_actuations")
     return timejoin.dense_calendar(wins, daily, ["user_key"], "window_start_day", "window_end_day", "cell_day")
 
@@ -493,7 +426,7 @@ def _(spark, d):
         "smartinhaler": D.inhaler_daily(V.inhaler(spark, d)),
         "peakflow": D.peakflow_daily(V.peakflow(spark, d), V.patient(spark, d)),
     }
-    long = X.daily_sequence(samples(spark, d).filter(TRAIN_CELL), tables, ["smartinhaler", "peakflow"])
+    long = X.daily_sequence(samples(spark, d), tables, ["smartinhaler", "peakflow"])
     return rounded(long.select(
         "user_key", "window_start_day", "t", F.col("`smartinhaler::smartinhaler_total_actuations`").alias("actuations"),
         *[F.col(f"`peakflow::{c}`").alias(c) for c in SEQ_PF],
@@ -526,7 +459,7 @@ def _(spark, d):
     "cell_days",
 )
 def _(spark, d):
-    wins = samples(spark, d).filter(TRAIN_CELL).select(*WN.WINDOW_KEYS).distinct()
+    wins = samples(spark, d).select(*WN.WINDOW_KEYS).distinct()
     days = timejoin.lay_out_days(wins, "window_start_day", "window_end_day")
     t = F.col("day") - F.col("window_start_day")
     steps = F.transform(F.array_sort(F.collect_list(t)), lambda x: x.cast("string"))

@@ -7,6 +7,7 @@ its plans stay as small as one fit's. Given a folder, a job that was stopped goe
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 from functools import reduce
 from itertools import product
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortlake.functions import exprs as E
 from cohortlake.operators import ranking, resample, splits
 from cohortlake.operators.select import best_trials, diagnostics
+from cohortlake.plans import folds
 from cohortlake.sources.tables import materialize, path_exists, scratch_dir
 
 USER, TARGET = "user_key", "target"
@@ -125,6 +127,33 @@ def _weights(algo: str, params: dict, n_pos: int, n_neg: int) -> Column | None:
     return None
 
 
+def beats_constant(model: PipelineModel, train: DataFrame, algo: str, params: dict | None = None) -> bool:
+    """Whether the weighted log-loss on training rows is below that of the best constant score."""
+    n_pos, n_neg, _ = training_facts(train, [])
+    weight = _weights(algo, params or {}, n_pos, n_neg)
+    rows = score(model, train, []).withColumnRenamed("y_true", TARGET)
+    p = F.greatest(F.least("y_prob", F.lit(1 - 1e-15)), F.lit(1e-15))
+    loss = -F.log(F.when(F.col(TARGET) == 1, p).otherwise(1 - p))
+    w = F.lit(1.0) if weight is None else weight
+    total, pos, neg = rows.agg(F.sum(w * loss), F.sum(F.when(F.col(TARGET) == 1, w)), F.sum(F.when(F.col(TARGET) == 0, w))).first()
+    rate = pos / (pos + neg)
+    return bool(total < -(pos * math.log(rate) + neg * math.log(1 - rate)))
+
+
+def gradient(model: PipelineModel, train: DataFrame, params: dict | None = None) -> float:
+    """Largest derivative per row of a logistic model's penalised loss at its coefficients; near zero after a right fit."""
+    params = params or {}
+    n_pos, n_neg, _ = training_facts(train, [])
+    weight = _weights("lr", params, n_pos, n_neg)
+    fitted = model.stages[-1]
+    data = model.transform(train.select(*[F.col(c).cast("double").alias(c) for c in model.feature_names], TARGET))
+    off = (F.lit(1.0) if weight is None else weight) * (vector_to_array("probability")[1] - F.col(TARGET))
+    x = vector_to_array("features")
+    sums = data.select(off.alias("off"), x.alias("x")).agg(F.sum("off"), *[F.sum(F.col("off") * F.get("x", F.lit(k))) for k in range(fitted.numFeatures)]).first()
+    slopes = [s + b / params.get("C", 1.0) for s, b in zip(sums[1:], fitted.coefficients)]
+    return max(abs(v) for v in [sums[0], *slopes]) / (n_pos + n_neg)
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     cols = model.feature_names
     data = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols if c not in keep], TARGET)
@@ -342,6 +371,18 @@ def probe_gate(summary: DataFrame, value: str = "val_roc_auc_mean", tolerance: f
     return summary.withColumn("gate_passed", F.abs(F.col(value) - 0.5) <= tolerance)
 
 
+def complete(table: DataFrame, features: Sequence[str]) -> bool:
+    """Whether no feature has a missing value, so that there is nothing to impute."""
+    row = table.agg(F.count(F.lit(1)), *[F.count(c) for c in features]).first()
+    return all(n == row[0] for n in row[1:])
+
+
+def linear_folds(table: DataFrame, features: Sequence[str], fold: str, keep: Sequence[str], params: dict) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold scores and fits of logistic models over all values of ``fold`` at once."""
+    balanced = params.get("class_weight") == "balanced"
+    return folds.held_out_scores(table, features, fold, keep, TARGET, params.get("C", 1.0), balanced)
+
+
 def lopo(
     table: DataFrame, features: Sequence[str], algo: str, params: dict, seed: int = 42, user: str = USER, path: str | None = None
 ) -> DataFrame:
@@ -368,6 +409,14 @@ def lopo(
     return scores.read().drop("held")
 
 
+def out_of_fold(table: DataFrame, features: Sequence[str], algo: str, params: dict, seed: int = 42, user: str = USER) -> DataFrame:
+    """``lopo``'s predictions; logistic models on complete features are fitted for all users at once, see ``folds``."""
+    data = materialize(table)
+    if algo == "lr" and complete(data, features):
+        return linear_folds(data, features, user, [user, "sample_id"], params)[0]
+    return lopo(data, features, algo, params, seed, user)
+
+
 def permuted_null(oof: DataFrame, n_perm: int, ident: str = "sample_id", user: str = USER, seed: int = 0) -> DataFrame:
     """Pooled metrics of fixed out-of-fold scores against permuted label blocks, one row per permutation."""
     mixed = resample.permute_user_blocks(materialize(oof), user, ident, "y_true", seed, n_perm)
@@ -380,7 +429,7 @@ def permuted_lopo(table: DataFrame, features: Sequence[str], algo: str, params:
     mixed = mixed.withColumn(TARGET, F.col(f"{TARGET}_perm"))
     scores = ScoreTable(table.sparkSession)
     for i in range(n_perm):
-        scores.add(lopo(mixed.filter(F.col("perm") == i), features, algo, params), perm=i)
+        scores.add(out_of_fold(mixed.filter(F.col("perm") == i), features, algo, params), perm=i)
     return ranking.auc(scores.read(), ["perm"])
 
 
@@ -437,8 +486,12 @@ def grouped_cv(table: DataFrame, features: Sequence[str], models: Sequence[tuple
     pos, neg = sum(r["pos"] for r in held), sum(r["neg"] for r in held)
     scores = ScoreTable(table.sparkSession)
     for algo, params in models:
+        if algo == "lr" and complete(data, features):
+            found, _ = linear_folds(data, features, "fold", [USER, "fold"], params)
+            scores.add(found.filter("y_prob IS NOT NULL"), algo=algo, part=-1)
+            continue
         for k, own_pos, own_neg in sorted((r["fold"], r["pos"], r["neg"]) for r in held):
             if pos > own_pos and neg > own_neg:
                 model = fit(data.filter(F.col("fold") != k), features, algo, params, seed)
-                scores.add(score(model, data.filter(F.col("fold") == k), [USER]), algo=algo, fold=k)
+                scores.add(score(model, data.filter(F.col("fold") == k), [USER, "fold"]), algo=algo, part=k)
     return ranking.panel(scores.read(), ["algo", "fold"])
