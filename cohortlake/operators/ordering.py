@@ -66,13 +66,37 @@ def running_totals(
 
 
 def integer_levels(c: Column) -> list[Column]:
-    """Levels for a non-negative integer sort key."""
-    return [F.shiftright(c.cast("bigint"), 24), F.shiftright(c.cast("bigint"), 12)]
+    """Levels for a non-negative integer sort key, dense or sparse: no band holds more than 2**15 of the next level's."""
+    return [F.shiftright(c.cast("bigint"), bits) for bits in (48, 36, 24, 12)]
+
+
+# Bands of a score, from the smallest up: how many each stretch of [0, 1] has. The stretches end where a score or its
+# distance from 1 is a power of two.
+RARE, TINY = 10, 70  # 2**-10 and 2**-70
+TINY_BANDS, RARE_BANDS, SURE_BANDS = 2**6, 2**12, 2**12  # per octave: below TINY, from TINY to RARE, above 1 - 2**-RARE
+MIDDLE_BANDS = 2**19  # per unit in between
 
 
 def score_levels(c: Column, descending: bool = False) -> list[Column]:
-    """A million equal bands for a score in [0, 1]. A key meets at most its bands in one task, never its rows."""
-    band = F.floor(c * float(2**20))
+    """About a million bands for a score: equal ones in the middle of [0, 1] and logarithmic ones towards both ends.
+
+    So scores of rare events, which crowd below any fixed width, are spread as well. A key meets at most its bands in
+    one task, never its rows. Numbers outside (0, 1) get whole bands of their own, in order.
+    """
+    c = c.cast("double")
+    tiny = (1100 - TINY) * TINY_BANDS
+    rare = tiny + (TINY - RARE) * RARE_BANDS
+    middle = rare + MIDDLE_BANDS
+    sure = middle + (53 - RARE + 1) * SURE_BANDS
+    low, high = F.log2(c), -F.log2(1 - c)
+    band = (
+        F.when(c <= 0, F.floor(c) - 1)
+        .when(c < 2.0**-TINY, F.floor((low + 1100) * TINY_BANDS))
+        .when(c < 2.0**-RARE, tiny + F.floor((low + TINY) * RARE_BANDS))
+        .when(c < 1 - 2.0**-RARE, rare + F.floor((c - 2.0**-RARE) * MIDDLE_BANDS))
+        .when(c < 1, middle + F.floor((high - RARE) * SURE_BANDS))
+        .otherwise(sure + F.floor(c))
+    )
     return [-band if descending else band]
 
 

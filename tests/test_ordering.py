@@ -71,3 +71,26 @@ def test_hash_numbering_is_a_permutation(spark):
         for _, g in out.groupby("k"):
             assert sorted(g["rn"]) == list(range(1, len(g) + 1))
     assert (a.sort_values("id")["rn"].to_numpy() != b.sort_values("id")["rn"].to_numpy()).any()
+
+
+def test_rare_scores_are_spread_and_in_order(spark):
+    rng = random.Random(7)
+    scores = [10.0 ** -rng.uniform(9, 14) for _ in range(3000)] + [1 - 10.0 ** -rng.uniform(3, 14) for _ in range(500)]
+    scores += [rng.random() for _ in range(500)] + [0.0, -0.0, 1.0, 5e-324, 2.0**-70, 2.0**-10, 1 - 2.0**-10, 1 - 2.0**-53, -1.5, 2.5]
+    scores += [float(np.nextafter(x, d)) for x in (2.0**-70, 2.0**-10, 1 - 2.0**-10) for d in (0.0, 1.0)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "id bigint, v double")
+    bands = df.select("v", O.score_levels(F.col("v"))[0].alias("b")).toPandas().sort_values("v")
+    assert not bands["b"].isna().any() and (np.diff(bands["b"]) >= 0).all()
+    rare = bands[bands["v"].between(1e-15, 1e-8)]
+    assert rare["b"].nunique() > 2500 and rare["b"].value_counts().max() <= 4
+    top = O.number_rows(df, [], O.score_levels(F.col("v"), True), [F.col("v").desc(), F.col("id")]).toPandas()
+    want = pd.DataFrame({"id": range(len(scores)), "v": scores}).sort_values(["v", "id"], ascending=[False, True])["id"]
+    assert list(top.sort_values("rn")["id"]) == list(want)
+
+
+def test_sparse_ids_beyond_2_to_40(spark):
+    rng = random.Random(8)
+    ids = sorted({rng.randrange(2**40, 2**62) for _ in range(500)} | {0, 1, 4095, 4096, 2**63 - 1})
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    out = O.number_rows(df, [], O.integer_levels(F.col("id")), [F.col("id")]).toPandas().sort_values("rn")
+    assert list(out["id"]) == ids and list(out["rn"]) == list(range(1, len(ids) + 1))
