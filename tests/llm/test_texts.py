@@ -93,31 +93,35 @@ def test_substrings_of_an_empty_table(documents):
 # --- line chunks ---------------------------------------------------------------------------------------------
 
 
-def brute_chunks(rows, average=4):
+def brute_chunks(rows):
     keys = {(i, t) for i, t in rows if t is not None}
-    pieces, first, cuts = collections.defaultdict(list), {}, {}
+    pieces, cuts = collections.defaultdict(list), collections.defaultdict(set)
     for i, t in keys:
-        lines, start, no = t.split("\n"), 0, 0
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        for k in range(len(lines)):
-            rolled = sum(h[k - b] * f for b, f in enumerate((1, 31, 961)) if k >= b)
-            if rolled % average == 0 or k == len(lines) - 1:
-                body = lines[start : k + 1]
-                if sum(bool(words(x)) for x in body) >= 2:
-                    pieces["\n".join(body)].append((i is None, i or 0, i, t, no, start, k + 1))
-                start, no = k + 1, no + 1
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if words(x)]
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for _, x in lines]
+        r = [(a * 1_000_003 + b) % 2_147_483_647 for a, b in zip(h, h[1:])]
+        long = [len(a[1]) + len(b[1]) >= 100 for a, b in zip(lines, lines[1:])]
+        found = set()
+        for j in range(len(r)):
+            beside = [k for k in (j - 1, j + 1) if 0 <= k < len(r)]
+            if long[j] or len(beside) < 2 or any(r[j] <= r[k] for k in beside):
+                found.add((j, 2))
+                found |= {(min(j, k), 3) for k in beside if r[k] > r[j] and not long[k]}
+        for j, size in found:
+            body = lines[j : j + size]
+            pieces["\n".join(x for _, x in body)].append((i is None, i or 0, j, i, t, body[0][0], body[-1][0] + 1))
     for places in pieces.values():
         ids = {p[:2] for p in places}
-        assert len({(p[0], p[1]) for p in places if p[:2] == min(ids)}) == 1
-        for p in sorted(places, key=lambda p: (p[0], p[1], p[4]))[1:]:
-            cuts.setdefault((p[2], p[3]), []).append(p[5:])
+        assert len({p[4] for p in places if p[:2] == min(ids)}) == 1
+        for p in sorted(places, key=lambda p: p[:3])[1:]:
+            cuts[p[3], p[4]] |= set(range(p[5], p[6]))
     out = []
     for i, t in rows:
         if t is None:
             out.append((i, 0, 0, None))
             continue
         lines = t.split("\n")
-        gone = {k for a, b in cuts.get((i, t), []) for k in range(a, b)}
+        gone = cuts.get((i, t), set())
         out.append((i, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return sorted(out, key=str)
 
@@ -136,6 +140,28 @@ def test_line_chunks(documents):
     assert df.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("size, wide", [(2, 30), (3, 2), (6, 12)])
+def test_a_shared_passage_goes_whole_from_all_but_the_first(documents, size, wide):
+    passage = [" ".join(f"p{k}x{i}" for i in range(wide)) for k in range(size)]
+    rows = [(i, "\n".join([f"own {i} {k}" for k in range(i % 5)] + ["\n".join(passage)] + [f"end {i} {k}" for k in range(i % 3)])) for i in range(40)]
+    got = line_chunks.remove_repeated(documents(rows), removed="gone").orderBy("doc_id").collect()
+    assert [r.gone for r in got] == [0] + [size] * 39
+    assert all(not set(passage) & set(r.text.split("\n")) for r in got[1:])
+
+
+def test_lines_without_words_neither_part_nor_make_a_run(documents):
+    rows = [(1, "one a\ntwo b\nthree c\n\n \nx"), (2, "y\none a\n\ntwo b\n\t\nthree c\n\n \nz")]
+    got = dict(line_chunks.remove_repeated(documents(rows)).select("doc_id", "text").collect())
+    assert got == {1: rows[0][1], 2: "y\n\n \nz"}
+
+
+def test_texts_under_one_hash_are_told_apart(documents, monkeypatch):
+    monkeypatch.setattr(line_chunks.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    monkeypatch.setattr(line_chunks.common, "row_key", lambda: F.col("doc_id"))
+    rows = [(i, "\n".join(["shared a", "shared b", "shared c"][: 3 * (i % 2)] + [f"own {i} {k}" for k in range(3)])) for i in range(8)]
+    assert rows_of(line_chunks.remove_repeated(documents(rows), lines="a", removed="b"), "doc_id", "a", "b", "text") == brute_chunks(rows)
+
+
 def test_line_chunks_of_an_empty_table(documents):
     assert line_chunks.remove_repeated(documents([])).count() == 0
 
