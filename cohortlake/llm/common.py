@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -37,6 +42,37 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+Frames = Callable[[Iterator[pd.DataFrame]], Iterator[tuple[np.ndarray | None, pd.DataFrame]]]
+
+
+def map_beside(df: DataFrame, carried: list[str], function: Frames, kinds: str) -> DataFrame:
+    """Columns ``kinds`` that ``function`` makes of all columns but the ``carried`` ones, beside these.
+
+    ``function`` takes pandas batches and yields, for each, a frame and the batch row of each of the frame's rows
+    (None: one for one). Carried columns never become pandas ones, where integers beside a null turn into floats
+    and lose digits: they stay Arrow columns.
+    """
+    made = StructType.fromDDL(kinds)
+    whole = StructType([*[df.schema[c] for c in carried], *made])
+    kept_types, made_types = to_arrow_schema(StructType(whole[: len(carried)])), to_arrow_schema(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = []
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                waiting.append(batch.select(carried))
+                yield batch.select([n for n in batch.schema.names if n not in carried]).to_pandas()
+
+        for rows, frame in function(frames()):
+            kept, new = waiting.pop(), pa.RecordBatch.from_pandas(frame, schema=made_types, preserve_index=False)
+            kept = kept if rows is None else kept.take(pa.array(rows, pa.int64()))
+            columns = [c.cast(f.type) for c, f in zip(kept.columns, kept_types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *new.columns], names=whole.names)
+
+    return df.mapInArrow(run, whole)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

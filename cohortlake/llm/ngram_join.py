@@ -52,7 +52,7 @@ def described(docs: DataFrame, trees: int, depth: int, shingle: int) -> DataFram
     factors = random.integers(0, 1 << 63, trees * depth, np.uint64) * np.uint64(2) + np.uint64(1)
     combine = random.integers(0, 1 << 63, depth, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[None, pd.DataFrame]]:
         words = common.WordHash()
         for batch in batches:
             rows = []
@@ -60,9 +60,9 @@ def described(docs: DataFrame, trees: int, depth: int, shingle: int) -> DataFram
                 s = common.shingle_set(words.of(text), shingle)
                 labels = _signatures(s, trees, depth, factors, combine).view(np.int64) if len(s) else np.empty(0, np.int64)
                 rows.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), labels))
-            yield pd.DataFrame({"key": batch["key"], "doc_id": batch["doc_id"], "sig": [r[0] for r in rows], "n": [r[1] for r in rows], "labels": [r[2] for r in rows]})
+            yield None, pd.DataFrame({"sig": [r[0] for r in rows], "n": [r[1] for r in rows], "labels": [r[2] for r in rows]})
 
-    return docs.mapInPandas(describe, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig binary, n long, labels array<long>")
+    return common.map_beside(docs, ["key", "doc_id"], describe, "sig binary, n long, labels array<long>")
 
 
 def _candidates(classes: DataFrame) -> DataFrame:

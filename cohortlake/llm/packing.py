@@ -77,22 +77,23 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     A null text is an empty one: the single id ``end``. Rows that repeat are documents of their own.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
         encoder = Encoder(tokenizer, added)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            rows, of = [], []
+            for row, text in enumerate(batch["text"]):
                 ids = np.append(encoder.ids(text), np.array([end], "<u4"))
                 first = (len(ids) - 1) % length + 1
                 bounds = [0, *range(first, len(ids) + 1, length)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                     data = ids[a:b].tobytes()
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(data)) + (data,) * with_ids)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": batch["doc_id"].dtype})
+                    rows.append((k, a, b - a, zlib.crc32(data)) + (data,) * with_ids)
+                    of.append(row)
+            yield np.array(of, np.int64), pd.DataFrame(rows, columns=names)
 
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    kinds = "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     names = [k.split()[0] for k in kinds.split(", ")]
-    return docs.select("doc_id", common.text_or_empty().alias("text")).mapInPandas(cut, kinds)
+    return common.map_beside(docs.select("doc_id", common.text_or_empty().alias("text")), ["doc_id"], cut, kinds)
 
 
 class _Packing:

@@ -129,15 +129,14 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     """``doc_id``, score and verdict of each row; a null text is scored as an empty one."""
     model = machine
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[None, pd.DataFrame]]:
         buckets = sparse.Buckets(BITS)
         for batch in batches:
             rows = [_entries(t if isinstance(t, str) else "", c, buckets) for t, c in zip(batch["text"], batch["n_chars"].astype(float), strict=True)]
             p = np.concatenate([model.score(sparse.Rows(rows[k : k + 64])) for k in range(0, len(rows), 64)]) if rows else np.empty(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p, "predicted": (p >= threshold).astype("int32")})
+            yield None, pd.DataFrame({"score": p, "predicted": (p >= threshold).astype("int32")})
 
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int"
-    return docs.select("doc_id", "text", "n_chars").mapInPandas(apply, kinds)
+    return common.map_beside(docs.select("doc_id", "text", "n_chars"), ["doc_id"], apply, "score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0) -> DataFrame:

@@ -50,7 +50,7 @@ def _repeat_words(ids: np.ndarray) -> int:
     return int(cover.sum())
 
 
-def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[None, pd.DataFrame]]:
     words = common.WordHash()
     for batch in batches:
         rows = []
@@ -67,14 +67,13 @@ def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             upper = byte[65:91].sum() / max(chars, 1)
             punct = byte[PUNCT].sum() / max(n, 1)
             rows.append((n, chars, symbols, dup, repeat, np.log1p(n), np.sqrt(symbols / max(chars, 1)), np.sqrt(dup / max(len(lines), 1)), np.sqrt(repeat / max(n, 1)), np.sqrt(upper), np.sqrt(punct)))
-        stats = pd.DataFrame(rows, columns=[*BASE, *FEATURES])
-        yield pd.concat([batch.drop(columns=["text"]).reset_index(drop=True), stats], axis=1)
+        yield None, pd.DataFrame(rows, columns=[*BASE, *FEATURES])
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The counted statistics and their transforms, one row per document, with the columns ``keep``."""
-    kinds = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} long" for c in BASE] + [f"{c} double" for c in FEATURES])
-    return docs.select(*keep, "text").mapInPandas(_statistics, kinds)
+    kinds = ", ".join([f"{c} long" for c in BASE] + [f"{c} double" for c in FEATURES])
+    return common.map_beside(docs.select(*keep, "text"), keep, _statistics, kinds)
 
 
 def base_failed() -> Column:

@@ -138,10 +138,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     runs = repeats(keyed.select("key", "text"), window, anchor).distinct()
     runs = common.stage(runs.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[None, pd.DataFrame]]:
         for batch in batches:
             rows = []
-            for doc_id, text, runs in zip(batch["doc_id"], batch["text"], batch["runs"], strict=True):
+            for text, runs in zip(batch["text"], batch["runs"], strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 ranges = _cover(runs, window) if runs is not None else []
                 keep, at = [], 0
@@ -150,8 +150,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     at = b
                 keep += words[at:]
                 kept = b" ".join(keep)
-                rows.append((doc_id, len(words), len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass"), [{"a": a, "b": b} for a, b in ranges]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "ranges"]).astype({"doc_id": batch["doc_id"].dtype})
+                rows.append((len(words), len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass"), [{"a": a, "b": b} for a, b in ranges]))
+            yield None, pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept", "ranges"])
 
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept string, ranges array<struct<a: int, b: int>>"
-    return keyed.join(runs, "key", "left").select("doc_id", "text", "runs").mapInPandas(cut, kinds)
+    kinds = "n_words long, n_removed long, kept_sha256 string, kept string, ranges array<struct<a: int, b: int>>"
+    return common.map_beside(keyed.join(runs, "key", "left").select("doc_id", "text", "runs"), ["doc_id"], cut, kinds)

@@ -140,15 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Classifier:
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, score and verdict of each row; a null text is scored as an empty one."""
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[None, pd.DataFrame]]:
         buckets = sparse.Buckets(BITS)
         for batch in batches:
             indexes = [_buckets(t, buckets) for t in batch["text"]]
             p = np.concatenate([model.score(indexes[k : k + 256]) for k in range(0, len(indexes), 256)]) if indexes else np.empty(0)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p, "predicted": (p >= threshold).astype("int32")})
+            yield None, pd.DataFrame({"score": p, "predicted": (p >= threshold).astype("int32")})
 
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int"
-    return docs.select("doc_id", "text").mapInPandas(apply, kinds)
+    return common.map_beside(docs.select("doc_id", "text"), ["doc_id"], apply, "score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1) -> DataFrame:

@@ -16,3 +16,10 @@ def documents(spark):
         return df
 
     return make
+
+
+@pytest.fixture
+def wide_ids(documents):
+    """Ids that a double can't hold, beside a null one, all in one batch."""
+    text = " ".join(f"word{i % 61}x{i}" for i in range(90))
+    return documents([(2**53 + 1, text), (None, text + " null"), (2**53 + 3, None), (-(2**62) - 1, "short")]).coalesce(1)
