@@ -22,6 +22,7 @@ from cohortlake.llm import common
 LENGTH = 1024
 END_ID = 2
 BLOCK = 4096  # pieces of a block, on average
+TASKS = 20_000  # tasks that islands are dealt to at most; beyond it a task takes several, one after another
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
@@ -197,6 +198,7 @@ def _round(rest: DataFrame, blocks: int, number: int, capacity: int) -> DataFram
     gathered = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("length", "uid"))).alias("items"))  # BLOCK pieces or so
     state = gathered.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("items.length").alias("lengths"), F.array().cast("array<binary>").alias("packings"))
 
+    islands = min(blocks * ISLANDS, TASKS)  # a number of its own keeps adaptive execution from merging islands into one task
     for epoch in range(EPOCHS):
 
         def advance(batches: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
@@ -206,7 +208,8 @@ def _round(rest: DataFrame, blocks: int, number: int, capacity: int) -> DataFram
                     best = evolve(np.asarray(x.lengths, np.int64), capacity, (number * 97 + epoch * 31 + x.island) * 1_000_003 + x.block, start)
                     yield pd.DataFrame({"block": [x.block], "island": [x.island], "lengths": [x.lengths], "packings": [[b.astype(np.int32).tobytes() for b in best]]})
 
-        state = common.stage(state.repartition("block", "island").mapInPandas(advance, state.schema))
+        at = F.pmod(F.col("block") * ISLANDS + F.col("island"), F.lit(islands)).cast("int")
+        state = common.stage(state.repartitionById(islands, at).mapInPandas(advance, state.schema))
         elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("packings", 1, 2).alias("elite"))
         state = state.join(elite, ["block", "island"]).select("block", "island", "lengths", F.concat(F.col("elite"), F.slice("packings", 1, 2)).alias("packings"))
 
@@ -226,7 +229,9 @@ def _round(rest: DataFrame, blocks: int, number: int, capacity: int) -> DataFram
                 yield pd.DataFrame({"uid": np.array([i["uid"] for i in x.items], np.int64)[order], "length": lengths[order], "sequence_id": (np.int64(number) << 56) | (np.int64(x.block) << 24) | bins, "offset": offset, "open": opened[bins]})
 
     packings = state.groupBy("block").agg(F.flatten(F.collect_list("packings")).alias("packings"))
-    return gathered.join(packings, "block").select("block", "items", "packings").mapInPandas(placed, "uid long, length long, sequence_id long, offset long, open boolean")
+    ready = gathered.join(packings, "block").select("block", "items", "packings")
+    ready = ready.repartitionById(min(blocks, TASKS), F.pmod("block", F.lit(min(blocks, TASKS))).cast("int"))
+    return ready.mapInPandas(placed, "uid long, length long, sequence_id long, offset long, open boolean")
 
 
 def pack(items: DataFrame, capacity: int = LENGTH) -> DataFrame:
