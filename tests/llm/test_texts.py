@@ -311,6 +311,27 @@ def test_rules(documents):
     assert robust_rules.judge(documents([])).count() == 0
 
 
+def test_small_groups_borrow_smoothly():
+    own, wider = np.array([1.0, 5.0]), np.array([3.0, 5.0])
+    at = [robust_rules.shrunk(n, own, wider) for n in range(1, 5000)]
+    assert all((abs(a - b) < 0.011).all() for a, b in zip(at, at[1:])) and (at[0] > 2.98)[0] and (at[-1] < 1.1)[0]
+    assert all(a[1] == pytest.approx(5) for a in at)
+
+
+def test_groups_of_any_size_are_judged_by_their_own_estimate(spark, documents):
+    rng = random.Random(2)
+
+    def text(caps):
+        return " ".join("".join(rng.choice("abcdef") for _ in range(5)).upper() if rng.random() < caps else f"w{rng.randrange(10**6)}" for _ in range(120))
+
+    rows = [(i, text(0.0)) for i in range(400)] + [(i, text(0.9)) for i in range(400, 520)]
+    source = F.when(F.col("doc_id") < 400, "plain").otherwise("loud")
+    docs = documents(rows).withColumn("source", source)
+    got = {r.doc_id: r.distance for r in robust_rules.judge(docs).collect()}
+    loud, as_plain = [got[i] for i in range(400, 520)], robust_rules.judge(docs.withColumn("source", F.lit("plain"))).filter("doc_id >= 400").collect()
+    assert np.median(loud) < np.median([r.distance for r in as_plain]) / 2
+
+
 # --- sharding ------------------------------------------------------------------------------------------------
 
 
