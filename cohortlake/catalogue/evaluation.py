@@ -428,7 +428,8 @@ FROM null_metrics m JOIN real_metric r ON r.config = m.config GROUP BY m.config,
 
 def null_summary(spark, d, n_perm=N_PERM):
     p = V.preds(spark, d).select("sample_id", "user_key", "y_true", "y_prob")
-    null = M.permuted_null(p, n_perm).withColumns({"config": F.lit("all"), "roc_auc": F.round("roc_auc", 12)})
+    null = RS.permuted_roc(p, "user_key", "sample_id", "y_true", "y_prob", 0, n_perm)
+    null = null.withColumns({"config": F.lit("all"), "roc_auc": F.round("roc_auc", 12)})
     real = R.auc(p.withColumn("config", F.lit("all")), K).withColumn("roc_auc", F.round("roc_auc", 12))
     return RS.permutation_summary(null, real)
 
@@ -498,18 +499,30 @@ def _(spark, d):
     ))
 
 
+NULL_STUDY_SQL = """
+SELECT m.config, r.roc_auc AS real_value, count(m.roc_auc) AS null_n, avg(m.roc_auc) AS null_mean, stddev_samp(m.roc_auc) AS null_std,
+       quantile_cont(m.roc_auc, 0.05) AS null_q05, quantile_cont(m.roc_auc, 0.5) AS null_q50, quantile_cont(m.roc_auc, 0.95) AS null_q95,
+       (count(*) FILTER (round(m.roc_auc, 12) >= round(r.roc_auc, 12)) + 1) / CAST(count(m.roc_auc) + 1 AS DOUBLE) AS p_value
+FROM null_metrics_study m JOIN real_metric r ON r.config = m.config GROUP BY m.config, r.roc_auc
+"""
+
+
 @query(
     "agg_25_null_distribution_study",
-    sql_rounded(NULL_COLS, """SELECT m.config, r.roc_auc AS real_value, count(m.roc_auc) AS null_n, avg(m.roc_auc) AS null_mean, stddev_samp(m.roc_auc) AS null_std,
-         quantile_cont(m.roc_auc, 0.05) AS null_q05, quantile_cont(m.roc_auc, 0.5) AS null_q50, quantile_cont(m.roc_auc, 0.95) AS null_q95,
-         (count(*) FILTER (round(m.roc_auc, 12) >= round(r.roc_auc, 12)) + 1) / CAST(count(m.roc_auc) + 1 AS DOUBLE) AS p_value
-       FROM null_metrics_study m JOIN real_metric r ON r.config = m.config GROUP BY m.config, r.roc_auc"""),
-    "null_metrics_study real_metric",
+    sql_rounded(NULL_COLS, NULL_STUDY_SQL), "null_metrics_study real_metric",
 )
 def _(spark, d):
     return rounded(null_summary(spark, d, USER_PERM))
 
 
+@query(
+    "rsm_05_permutation_p_value_study", sql_rounded("p_value", f"SELECT config, p_value FROM ({NULL_STUDY_SQL})"),
+    "null_metrics_study real_metric",
+)
+def _(spark, d):
+    return rounded(null_summary(spark, d, USER_PERM).select("config", "p_value"))
+
+
 # --- joins between result tables ------------------------------------------------------------------
 
 GRID = ["threshold", "input_length_days", "washout_days"]
