@@ -480,6 +480,11 @@ def _(spark, d):
     return rounded(RS.bootstrap_ci(V.preds(spark, d), K, "sample_id", ROW_BOOT))
 
 
+@query("rsm_01_tree_bootstrap_ci_study")
+def _(spark, d):
+    return rounded(RS.tree_bootstrap_ci(V.preds(spark, d), K, ROW_BOOT))
+
+
 @query("rsm_02_cluster_bootstrap_study", sql_rounded("roc_auc pr_auc", "SELECT * FROM user_resamples_study"), "user_resamples_study preds")
 def _(spark, d):
     return rounded(RS.cluster_bootstrap(V.preds(spark, d), K, "user_key", USER_BOOT)).withColumn("draw", F.col("draw").cast("bigint"))

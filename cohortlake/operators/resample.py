@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlake.functions import exprs as E
-from cohortlake.operators import ranking
+from cohortlake.operators import ranking, splittree
 from cohortlake.operators.ordering import integer_levels, number_by_hash, number_rows
 from cohortlake.sources.tables import materialize
 
@@ -64,10 +64,20 @@ def interval(draws: DataFrame, keys: Sequence[str], metrics: Sequence[str], alph
 
 def bootstrap_ci(preds: DataFrame, keys: Sequence[str], ident: str, n_boot: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """Point value and percentile interval of both ranking metrics; NULL bounds under 5 rows or one class."""
+    return point_and_interval(preds, keys, row_bootstrap(preds, keys, ident, n_boot, seed), alpha)
+
+
+def tree_bootstrap_ci(preds: DataFrame, keys: Sequence[str], n_boot: int = 2000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """``bootstrap_ci`` with the draws of ``splittree``: no row per draw, and rows need no id."""
+    return point_and_interval(preds, keys, splittree.row_bootstrap(preds, keys, n_boot, seed), alpha)
+
+
+def point_and_interval(preds: DataFrame, keys: Sequence[str], draws: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Metrics of the predictions beside the percentile interval of their resamples."""
     keys = list(keys)
     metrics = ["roc_auc", "pr_auc"]
     point = ranking.auc(preds, keys)
-    ci = interval(row_bootstrap(preds, keys, ident, n_boot, seed), keys, metrics, alpha)
+    ci = interval(draws, keys, metrics, alpha)
     usable = (F.col("n") >= 5) & (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
     cols = ["roc_auc", "pr_auc", *[f"{m}_{b}" for m in metrics for b in ("lo", "hi")]]
     return point.join(ci, keys, "left").select(*keys, "n", "pos", *[F.when(usable, F.col(c)).alias(c) for c in cols])
