@@ -9,7 +9,7 @@ from cohortlake.catalogue.common import rounded, sql_rounded
 from cohortlake.catalogue.ctes import cte
 from cohortlake.catalogue.registry import query
 from cohortlake.functions import exprs as E
-from cohortlake.operators import profile, ranking as R, resample as RS, select
+from cohortlake.operators import profile, ranking as R, resample as RS, select, splittree
 from cohortlake.operators.ordering import integer_levels, number_rows
 from cohortlake.plans import models as M, reports
 from cohortlake.sources import standin as V
@@ -490,6 +490,20 @@ def _(spark, d):
     return rounded(RS.cluster_bootstrap(V.preds(spark, d), K, "user_key", USER_BOOT)).withColumn("draw", F.col("draw").cast("bigint"))
 
 
+@query("rsm_02_tree_cluster_bootstrap_study")
+def _(spark, d):
+    return rounded(splittree.user_bootstrap(V.preds(spark, d), K, "user_key", USER_BOOT)).withColumn("draw", F.col("draw").cast("bigint"))
+
+
+@query("evl_17_tree_panel_with_interval_study")
+def _(spark, d):
+    p = V.preds(spark, d)
+    ci = RS.interval(splittree.user_bootstrap(p, K, "user_key", USER_BOOT), K, ["roc_auc"])
+    return rounded(R.panel(p, K).join(ci, K, "left").select(
+        "config", "f1", "roc_auc", "pr_auc", F.col("roc_auc_lo").alias("auc_ci_lo"), F.col("roc_auc_hi").alias("auc_ci_hi")
+    ))
+
+
 @query(
     "evl_17_panel_with_interval_study",
     sql_rounded("f1 roc_auc pr_auc auc_ci_lo auc_ci_hi", """SELECT c.config, c.f1, a.roc_auc, CASE WHEN a.pos BETWEEN 1 AND a.n - 1 THEN a.pr_auc END AS pr_auc, quantile_cont(u.roc_auc, 0.025) AS auc_ci_lo, quantile_cont(u.roc_auc, 0.975) AS auc_ci_hi

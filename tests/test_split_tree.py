@@ -1,5 +1,7 @@
 """The bootstrap by a splitting tree against plain resampling with the same multiplicities."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -61,5 +63,26 @@ def test_metrics_are_those_of_the_drawn_rows(frame, block):
                 assert (np.isnan(have) and want is None) or have == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("block", [1, 4, 512])
+def test_whole_users_are_drawn(frame, block):
+    rng = np.random.default_rng(4)
+    rows = [("a", f"u{u}", int(rng.random() < 0.4), float(rng.choice([0.0, 0.0, 0.0, 0.2, 0.7]))) for u in range(12) for _ in range(1 + u % 4)]
+    rows += [("b", f"u{u}", u % 2, rng.random()) for u in range(9)] + [("a", "u99", 1, None)]
+    df = frame(rows, "config string, u string, y_true int, y_prob double")
+    got = ST.user_bootstrap(df, ["config"], "u", 6, 9, block).toPandas().set_index(["config", "draw"])
+    assert len(got) == 12
+    for config in "ab":
+        users = sorted({u for c, u, _, _ in rows if c == config}, key=lambda u: (hashlib.md5(f"users:{u}".encode()).hexdigest(), u))
+        w = np.diff(ST.draws_below(np.arange(len(users) + 1), len(users), 6, 9), axis=0)
+        kept = [(users.index(u), y, s) for c, u, y, s in rows if c == config and s is not None]
+        for draw in range(6):
+            times = [int(w[i, draw]) for i, _, _ in kept]
+            roc, pr = plain([s for _, _, s in kept], [y for _, y, _ in kept], times)
+            row = got.loc[(config, draw)]
+            assert row.n == sum(times) and row.pos == sum(t * y for t, (_, y, _) in zip(times, kept))
+            for have, want in ((row.roc_auc, roc), (row.pr_auc, pr)):
+                assert (np.isnan(have) and want is None) or have == pytest.approx(want, abs=1e-12)
+
+
 def test_an_empty_table_gives_no_rows(frame):
     assert ST.row_bootstrap(frame([], "config string, y_true int, y_prob double"), ["config"], 3).count() == 0
