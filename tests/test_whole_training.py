@@ -29,3 +29,16 @@ def test_statistics_are_finished_once_per_window(spark):
     got = table.collect()
     assert sorted((r.user_key, r.pef_window_sum) for r in got) == [(1, 3.75)] * 4 + [(2, None)] * 4
     assert rows.value == 2  # two windows, eight samples
+
+
+def test_wide_rows_are_written_by_cell_without_a_shuffle(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cohortlake.sources.tables import GRID_KEYS, write_grid
+
+    rows = spark.range(0, 270, 1, 3).select("id", (F.col("id") % 3).alias("threshold"), (F.col("id") % 2).alias("input_length_days"), F.lit(7).alias("washout_days"))
+    write_grid(rows.withColumn("task", F.spark_partition_id()), f"{tmp_path}/cells", gather=False)
+    back = spark.read.parquet(f"{tmp_path}/cells")
+    assert back.groupBy(*GRID_KEYS).count().count() == 6 and back.count() == 270
+    files = back.withColumn("file", F.input_file_name()).groupBy("file").agg(F.countDistinct("task").alias("tasks"))
+    assert {r.tasks for r in files.collect()} == {1} and files.count() == 18  # each task wrote its own rows of each cell
