@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlake.functions import exprs as E
-from cohortlake.operators import ranking, splittree
+from cohortlake.operators import ranking, slotdraws, splittree
 from cohortlake.operators.ordering import integer_levels, number_by_hash, number_rows
 from cohortlake.sources.tables import materialize
 
@@ -24,13 +24,11 @@ def _draws(numbered: DataFrame, keys: Sequence[str], n_boot: int, seed: int) ->
 
 
 def row_bootstrap(preds: DataFrame, keys: Sequence[str], ident: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
-    """Metrics per (keys, draw) of row-wise resamples."""
+    """Metrics per (keys, draw) of row-wise resamples. No draw becomes a row, see ``slotdraws``."""
     keys = list(keys)
     sizes = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     numbered = number_by_hash(preds.select(*keys, ident, "y_true", "y_prob"), keys, [ident], "rows").join(sizes, keys)
-    draws = _draws(numbered, keys, n_boot, seed)
-    rows = numbered.select(*keys, (F.col("rn") - 1).alias("idx"), "y_true", "y_prob")
-    return ranking.auc(draws.join(rows, [*keys, "idx"]), [*keys, "draw"], "w")
+    return slotdraws.row_metrics(materialize(numbered), keys, n_boot, seed)
 
 
 def cluster_bootstrap(preds: DataFrame, keys: Sequence[str], user: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
