@@ -164,10 +164,11 @@ def contract_violations(samples: DataFrame, events: DataFrame, probable: DataFra
     """Rows that break the sampling contract, with the broken rule.
 
     Positives must end the day before the onset. Negatives must hold no event day, positive-week day or
-    washout day from the window start through the anchor.
+    washout day from the window start through the anchor. They hold one exactly when the last such day up to the anchor
+    is not before the start, so no window is exploded into its days.
     """
     pos = samples.filter("target = 1").filter(F.col("window_end_day") != F.col("event_onset_day") - 1)
-    neg = lay_out_days(samples.filter("target = 0"), "window_start_day", "sample_anchor_day")
+    neg = samples.filter("target = 0")
     washed = runs.select(USER, "threshold", "event_end_day").join(
         samples.select("threshold", "washout_days").distinct().filter("washout_days > 0"), "threshold"
     )
@@ -175,13 +176,14 @@ def contract_violations(samples: DataFrame, events: DataFrame, probable: DataFra
     washed = washed.select(USER, "threshold", "washout_days", F.explode(F.sequence(first, last)).alias("day"))
     events_on = probable.select(USER, "threshold", F.col("event_day").alias("day"))
     checks = [
-        (events_on, [USER, "threshold", "day"], "event_day"),
-        (positive_week_days(events), [USER, "day"], "positive_week_day"),
-        (washed, [USER, "threshold", "washout_days", "day"], "washout_day"),
+        (events_on, [USER, "threshold"], "event_day"),
+        (positive_week_days(events), [USER], "positive_week_day"),
+        (washed, [USER, "threshold", "washout_days"], "washout_day"),
     ]
     out = pos.withColumn("rule", F.lit("positive_window_end"))
     for days, keys, rule in checks:
-        hit = neg.join(days, keys, "left_semi").drop("day").distinct()
+        last = nearest_row(neg, days, keys, "sample_anchor_day", "day", ["day"], forward=False, strict=False)
+        hit = last.filter(F.col("day") >= F.col("window_start_day")).drop("day").distinct()
         out = out.unionByName(hit.withColumn("rule", F.lit(rule)))
     return out
 

@@ -139,3 +139,22 @@ def test_empty_cells_are_counted(frame):
     pr = frame([], "user_key int, threshold int, event_day int, event_day_confidence string, event_day_source string")
     samples, counts = P.build_samples(ev, pr, L.episodes(pr), (2,), (7,), (0, 7))
     assert samples.count() == 0 and [r["total_samples"] for r in counts.collect()] == [0, 0]
+
+
+def test_contract_check_lays_out_no_window(spark, frame):
+    index = frame(
+        [(1, 20, 6, 19, None, None, 0, 2, 14, 7), (1, 20, 6, 19, None, None, 0, 2, 14, 7), (1, 40, 33, 39, None, None, 0, 2, 7, 7),
+         (2, 20, 6, 19, None, None, 0, 2, 14, 7), (3, 9, 2, 8, None, None, 0, 3, 7, 0), (4, 30, 22, 28, 30, 31, 1, 2, 7, 0)],
+        "user_key INT, sample_anchor_day INT, window_start_day INT, window_end_day INT, event_onset_day INT, event_end_day INT, "
+        "target INT, threshold INT, input_length_days INT, washout_days INT",
+    )
+    weeks = frame([(2, 0, 6, True, True), (3, 10, 16, True, True)],
+                  "user_key INT, week_start_day INT, week_end_day INT, has_valid_covered_days BOOLEAN, broad_event_week BOOLEAN")
+    probable = frame([(1, 20, 2), (1, 32, 2), (3, 5, 2), (3, 10, 3)], "user_key INT, event_day INT, threshold INT")
+    runs = frame([(1, 2, 26), (2, 2, 21)], "user_key INT, threshold INT, event_end_day INT")
+    bad = P.contract_violations(index, weeks, probable, runs)
+    assert sorted((r["user_key"], r["sample_anchor_day"], r["rule"]) for r in bad.collect()) == [
+        (1, 20, "event_day"), (1, 40, "washout_day"), (2, 20, "positive_week_day"), (4, 30, "positive_window_end"),
+    ]
+    plan = P.contract_violations(index, weeks, probable, runs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 2  # the weeks' days and the washout days
