@@ -14,7 +14,7 @@ from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -91,18 +91,31 @@ def estimator(algo: str, params: dict, n_rows: int, weighted: bool, seed: int):
     raise ValueError(f"unknown algorithm {algo}")
 
 
-def fit(train: DataFrame, features: Sequence[str], algo: str, params: dict | None = None, seed: int = 42) -> PipelineModel:
-    """Median imputation, assembly, scaling for the linear model, then the classifier."""
-    params = params or {}
+def medians(train: DataFrame, features: Sequence[str]) -> tuple[int, int, list[str], ImputerModel]:
+    """Positives, negatives, usable columns and the exact medians that fill them: what fits on the same training rows share."""
     n_pos, n_neg, cols = training_facts(train, features)
     if not (n_pos and n_neg and cols):
         raise CannotFit(f"{n_pos} positives, {n_neg} negatives and {len(cols)} usable features")
+    imputer = Imputer(strategy="median", relativeError=0.0, inputCols=cols, outputCols=[f"{c}_f" for c in cols])  # exact
+    return n_pos, n_neg, cols, imputer.fit(train.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+
+
+def fit(
+    train: DataFrame, features: Sequence[str], algo: str, params: dict | None = None, seed: int = 42,
+    shared: tuple[int, int, list[str], ImputerModel] | None = None,
+) -> PipelineModel:
+    """Median imputation, assembly, scaling for the linear model, then the classifier.
+
+    ``shared`` are the ``medians`` of these training rows and features, where several fits use them.
+    """
+    params = params or {}
+    n_pos, n_neg, cols, imputer = shared or medians(train, features)
     weight = _weights(algo, params, n_pos, n_neg)
     data = train.select(*[F.col(c).cast("double").alias(c) for c in cols], F.col(TARGET).cast("double").alias(TARGET))
     if weight is not None:
         data = data.withColumn("_w", weight)
     filled = [f"{c}_f" for c in cols]
-    stages = [Imputer(strategy="median", relativeError=0.0, inputCols=cols, outputCols=filled)]  # exact
+    stages = [imputer]
     if algo == "lr":
         stages += [
             VectorAssembler(inputCols=filled, outputCol="raw"),
@@ -270,14 +283,15 @@ def sweep(
     table_of, tried = ScoreTable(spark, path), []
     keys = [*cell_keys, "algo", "params"]
     for cell in usable.orderBy(*cell_keys).toLocalIterator():
-        part = data.filter(reduce(lambda a, b: a & b, [F.col(k) == cell[k] for k in cell_keys]))
+        part, shared = data.filter(reduce(lambda a, b: a & b, [F.col(k) == cell[k] for k in cell_keys])), None
         for algo, params in trials:
             labels = {k: cell[k] for k in cell_keys} | {"algo": algo, "params": params_text(params)}
             tried.append((len(tried), *[labels[k] for k in keys]))
             if table_of.has(**labels):
                 continue
             try:
-                model = fit(part.filter(train), features, algo, params, seed)
+                shared = shared or medians(part.filter(train), features)
+                model = fit(part.filter(train), features, algo, params, seed, shared)
             except CannotFit:
                 continue
             scored = score(model, part, [USER, "split"]).withColumn("n_features", F.lit(len(model.feature_names)))
