@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortlake import settings
 from cohortlake.operators import timejoin
+from cohortlake.plans import samples
 
 
 def test_laid_out_days_of_a_small_file_are_not_broadcast(spark, tmp_path):
@@ -23,3 +24,19 @@ def test_a_table_of_a_few_rows_is_still_broadcast(spark, tmp_path):
     spark.range(5).select(F.col("id").alias("k")).write.parquet(f"{tmp_path}/few")
     plan = spark.read.parquet(f"{tmp_path}/rows").join(spark.read.parquet(f"{tmp_path}/few"), "k")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_sample_step_broadcasts_no_days_of_small_files(spark, tmp_path):
+    settings.apply(spark)
+    weeks = spark.range(150_000).select(
+        F.hash("id").cast("bigint").alias("user_key"), F.lit(7).alias("week_start_day"), F.lit(13).alias("week_end_day"),
+        F.lit(True).alias("has_valid_covered_days"), (F.col("id") % 3 == 0).alias("broad_event_week"),
+        F.lit(2).alias("threshold"), F.lit(9).alias("event_day"), F.lit(9).alias("event_onset_day"), F.lit(9).alias("event_end_day"),
+    )
+    weeks.repartition(1).write.parquet(f"{tmp_path}/weeks")
+    files = sum(f.stat().st_size for f in (tmp_path / "weeks").glob("*.parquet"))
+    assert 300_000 < files < 5_000_000
+    rows = spark.read.parquet(f"{tmp_path}/weeks")
+    neg = samples.negative_candidates(rows, rows, rows, (2, 3), (7, 14), (0, 7))
+    plan = neg._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
