@@ -337,14 +337,10 @@ def _(spark, d):
 def _(spark, d):
     t = label_tables(spark, d)
     wins = P.negative_candidates(t.weekly_events, t.probable_days, t.episodes, T, LENGTHS, (0,))
-    days = timejoin.lay_out_days(wins, "window_start_day", "window_end_day")
-    spans = timejoin.lay_out_days(t.episodes.select("user_key", "threshold", "episode_id", "event_onset_day", "event_end_day"),
-                                  "event_onset_day", "event_end_day")
-    keys = ["user_key", "sample_anchor_day", "threshold", "input_length_days"]
-    hit = days.join(spans, ["user_key", "threshold", "day"]).groupBy(*keys).agg(
-        F.countDistinct("episode_id").alias("episodes_hit")
+    hit = timejoin.count_overlaps(
+        wins, t.episodes, ["user_key", "threshold"], ("window_start_day", "window_end_day"), ("event_onset_day", "event_end_day"), "episodes_hit"
     )
-    return hit
+    return hit.select("user_key", "sample_anchor_day", "threshold", "input_length_days", "episodes_hit")
 
 
 @query("pip_08_sample_index", "SELECT * FROM samples", "samples")

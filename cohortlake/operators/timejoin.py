@@ -84,6 +84,27 @@ def rows_in_intervals(
     return rows.join(laid, [*by, day])
 
 
+def count_overlaps(windows: DataFrame, spans: DataFrame, by: Sequence[str], window: tuple[str, str], span: tuple[str, str], name: str) -> DataFrame:
+    """Windows with the number of spans of the same key that share a day with them; those that meet none drop out.
+
+    Spans that overlap a window are those begun by its last day less those ended before its first day. Both numbers
+    are running counts, looked up once per (key, day): neither windows nor spans are laid out by day.
+    """
+    (first, last), (start, end) = window, span
+    real = spans.filter(F.col(start) <= F.col(end))
+    so_far = W.partitionBy(*by).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+
+    def running(day: str, count: str) -> DataFrame:
+        days = real.groupBy(*by, F.col(day).alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+        return days.select(*by, "_at", F.sum("_n").over(so_far).alias(count))
+
+    asked = windows.filter(F.col(first) <= F.col(last))
+    begun = nearest_row(asked, running(start, "_begun"), by, last, "_at", ["_begun"], forward=False, strict=False)
+    ended = nearest_row(begun.filter("_begun > 0"), running(end, "_ended"), by, first, "_at", ["_ended"], forward=False)
+    hits = F.col("_begun") - F.coalesce("_ended", F.lit(0))
+    return ended.withColumn(name, hits).filter(F.col(name) > 0).drop("_begun", "_ended")
+
+
 def lay_out_days(df: DataFrame, start: str, end: str, day: str = "day") -> DataFrame:
     return df.withColumn(day, F.explode(day_span(start, end)))
 

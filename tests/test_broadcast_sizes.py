@@ -26,6 +26,17 @@ def test_a_table_of_a_few_rows_is_still_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" in plan
 
 
+def test_days_of_a_file_below_the_former_limit_are_not_broadcast(spark, tmp_path):
+    settings.apply(spark)
+    spans = spark.range(150_000).select(F.col("id").alias("user_key"), F.lit(0).alias("first"), F.lit(27).alias("last"))
+    spans.repartition(1).sortWithinPartitions("user_key").write.option("compression", "zstd").parquet(f"{tmp_path}/spans")
+    files = sum(f.stat().st_size for f in (tmp_path / "spans").glob("*.parquet"))
+    assert 20_000 < files < 250_000  # of 4,200,000 rows of days
+    days = timejoin.lay_out_days(spark.read.parquet(f"{tmp_path}/spans"), "first", "last")
+    plan = days.join(days.withColumnRenamed("first", "begin"), ["user_key", "day"])._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_sample_step_broadcasts_no_days_of_small_files(spark, tmp_path):
     settings.apply(spark)
     weeks = spark.range(150_000).select(

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from cohortlake.operators.timejoin import nearest_row, rows_in_intervals
+from cohortlake.operators.timejoin import count_overlaps, nearest_row, rows_in_intervals
 
 
 def brute(left, right, forward, strict):
@@ -57,3 +57,18 @@ def test_row_in_two_intervals_comes_twice(frame):
     spans = frame([(1, 3, 5, "a"), (1, 5, 6, "b"), (1, 8, 7, "empty")], "u int, s int, e int, w string")
     out = rows_in_intervals(rows, spans, ["u"], "day", "s", "e")
     assert sorted((r["u"], r["day"], r["w"]) for r in out.collect()) == [(1, 5, "a"), (1, 5, "b")]
+
+
+def test_overlaps_are_counted_without_days(frame):
+    rng = random.Random(3)
+    windows = [(rng.choice([1, 2, None]), t, a, a + rng.randrange(-1, 9)) for t in (2, 3) for a in range(60)] + [(1, 2, 0, 2_000_000_000), (1, 2, None, 5)]
+    spans = [(rng.choice([1, 2, None]), t, a, a + rng.randrange(-1, 5)) for t in (2, 3) for a in range(0, 60, 4)] * 2 + [(1, 2, 3, 2_000_000_000), (1, 2, None, 4), (1, 2, 4, None)]
+    got = count_overlaps(
+        frame(windows, "user_key bigint, threshold int, lo int, hi int"), frame(spans, "user_key bigint, threshold int, onset int, end int"),
+        ["user_key", "threshold"], ("lo", "hi"), ("onset", "end"), "hits",
+    )
+    want = []
+    for u, t, lo, hi in windows:
+        n = sum(u is not None and (u, t) == s[:2] and None not in (*s, lo) and s[2] <= s[3] and lo <= hi and s[2] <= hi and s[3] >= lo for s in spans)
+        want += [(u, t, lo, hi, n)] * (n > 0)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 40
